@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def parse_us_date(text: Column) -> Column:
-    """Month-day-year text with ``/``, ``-`` or ``.`` between and a 2- or 4-digit year, else NULL."""
+    """Month-day-year text with ``/``, ``-`` or ``.`` between and a 2- or 4-digit year, else NULL.
+
+    Two-digit years from 69 on belong to the last century.
+    """
     plain = F.translate(F.trim(text), "/.", "--")
     short = F.when(plain.rlike(r"^\d{1,2}-\d{1,2}-\d{2}$"), F.try_to_timestamp(plain, F.lit("M-d-yy")))
     full = F.when(plain.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_timestamp(plain, F.lit("M-d-yyyy")))
-    return F.coalesce(short, full).cast("date")
+    short = short.cast("date")
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(short, full.cast("date"))
 
 
 def day_label(day_of_year: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _SHIFT = 8
 
@@ -53,7 +54,7 @@ def trigamma(x: Column) -> Column:
     return tail + back
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided_p(z: pd.Series) -> pd.Series:
     """P(|Z| > |z|). Used on coefficient tables, a handful of rows per group."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywing.functions.numbers import ratio
 from tallywing.operators.panel import attach_days, covariates, drop_no_effort, model_frame
+from tallywing.session import settle
 
 MONTHS = list(range(1, 13))
 
@@ -135,17 +136,18 @@ class Tables:
             return [file.alias("file"), idx.cast("int").alias("row_idx"), label.alias("label"), cells.alias("cells")]
 
         month = F.month("date")
-        counts = self.panel.groupBy("species", "year").agg(
-            *[F.sum(F.when(month == m, F.col("birds"))).cast("bigint").alias(f"m{m}") for m in MONTHS]
-        )
-        cells = F.array(*[_dirty_cell(F.col(f"m{m}")) for m in MONTHS], _dirty_cell(
-            sum((F.coalesce(f"m{m}", F.lit(0)) for m in MONTHS[1:]), F.coalesce("m1", F.lit(0)))
-        ))
+        # A sheet is a file somebody typed: the counts are written once, so that every step below
+        # reads a page and not the shipments.
+        counts = settle(self.panel.groupBy("species", "year").agg(
+            *[F.sum(F.when(month == m, F.col("birds"))).cast("bigint").alias(f"m{m}") for m in MONTHS],
+            F.sum("birds").cast("bigint").alias("m13"),
+        ), "sheet")
+        cells = F.array(*[_dirty_cell(F.col(f"m{m}")) for m in [*MONTHS, 13]])
         species = counts.select(*row(
             year, 10 + F.regexp_extract("species", r"(\d+)$", 1).cast("int"), F.col("species"), cells
         ))
         blank = F.array_repeat(F.lit(""), 13)
-        tops = self.panel.select("year").distinct().withColumn("r", F.explode(F.lit([0, 1, 2, 3, 4, 900, 901])))
+        tops = counts.select("year").distinct().withColumn("r", F.explode(F.lit([0, 1, 2, 3, 4, 900, 901])))
         head = F.concat(
             F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.concat(
                 m.cast("string"), F.when(m % 2 == 0, F.lit("/1/")).otherwise(F.lit("-1-")), F.substring(year, 3, 2)

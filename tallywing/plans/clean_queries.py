@@ -62,11 +62,11 @@ def recode_table(t):
     return p.collapse_duplicates(recode_from_table(t.panel, "species", kept, "species", "grouping"), ["species"])
 
 
-_OBSERVER_RULES = [("1-URGENT", "A"), ("2-HIGH", "A/B"), ("A/B", "B/A"), ("5-LOW", None), ("3-MEDIUM", "A")]
+_OBSERVER_RULES = [("OB0", "A"), ("OB1", "A/B"), ("A/B", "B/A"), ("OB4", None), ("OB2", "A")]
 
 
 @query("recode_observer", """
-    SELECT CASE observer WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'B/A' WHEN '5-LOW' THEN NULL WHEN '3-MEDIUM' THEN 'A'
+    SELECT CASE observer WHEN 'OB0' THEN 'A' WHEN 'OB1' THEN 'B/A' WHEN 'OB4' THEN NULL WHEN 'OB2' THEN 'A'
            ELSE observer END AS observer, count(*) AS n
     FROM panel_eff GROUP BY 1""", ("panel_eff",))
 def recode_observer(t):

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tallywing.functions.numbers import ratio
 from tallywing.operators.panel import attach_days, covariates, drop_no_effort, model_frame
+from tallywing.operators.scaling import TERMS, with_terms
 from tallywing.session import settle
 
 MONTHS = list(range(1, 13))
+GIVEN_SLOPES = [0.05, -0.1, 0.2, -0.15, 0.1, -0.05, 0.02, -0.03, 0.25]
 
 
 class Tables:
@@ -50,15 +52,15 @@ class Tables:
     @cached_property
     def days(self) -> DataFrame:
         """One row per day: effort, observer and weather, from the orders placed that day."""
-        n = F.count("*")
+        n, code = F.count("*"), F.sum(F.col("o_custkey") % 1000)
         return self.base("orders").groupBy(F.col("o_orderdate").cast("date").alias("date")).agg(
             (n % 5 * 50).cast("int").alias("total_obs_mins"),
             (n % 5 * 50 / F.lit(60.0)).alias("obs_hours"),
-            F.min("o_orderpriority").alias("observer"),
+            F.when(code % 9 != 8, F.concat(F.lit("OB"), (code % 5).cast("string"))).alias("observer"),
             F.when(n % 7 != 0, 4 + F.avg(F.col("o_orderkey") % 24) / 4).alias("tsm"),
             F.avg(F.col("o_custkey") % 23).alias("wind_speed"),
-            (F.sum("o_custkey") * 37 % 360).cast("double").alias("wind_dir"),
-            (1000 + F.sum("o_orderkey") % 41).cast("double").alias("pressure"),
+            (code * 37 % 360).cast("double").alias("wind_dir"),
+            (1000 + F.sum(F.col("o_orderkey") % 1000) % 41).cast("double").alias("pressure"),
         )
 
     @cached_property
@@ -174,6 +176,27 @@ class Tables:
         return model_frame(covariates(drop_no_effort(joined)))
 
 
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """Model frame with standardised terms. Written once: its rows feed a statistic and a join."""
+        return with_terms(settle(self.frame, "frame"))
+
+    @cached_property
+    def given(self) -> DataFrame:
+        """Coefficients to check effects and diagnostics against: intercept at the log mean, fixed
+        slopes, a diagonal covariance, theta 1.5. Shaped like the result of a fit."""
+        size = len(TERMS) + 1
+        cells = [F.lit(0.0)] * (size * size)
+        for i in range(size):
+            cells[i * size + i] = F.lit((i + 1.0) * 4) / F.col("n")
+        means = self.frame.groupBy("species").agg(F.avg("birds").alias("mean"), F.count("*").alias("n")).filter("mean > 0")
+        return means.select(
+            F.col("species").alias("group"), F.lit("nbinom").alias("family"), F.lit((1 << len(TERMS)) - 1).alias("mask"),
+            F.lit(size + 1).alias("k"), "n", F.array(F.log("mean"), *[F.lit(b) for b in GIVEN_SLOPES]).alias("beta"),
+            F.log(F.lit(1.5)).alias("log_theta"), F.lit(None).cast("double").alias("zeta"), F.array(*cells).alias("vcov"),
+        )
+
+
 def _dirty_cell(n):
     """A month's count as typed: blank when missing, with a comma or a star now and then."""
     return (
@@ -199,11 +222,11 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey"""),
     "days": ((), """
         SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) % 5 * 50 AS INTEGER) AS total_obs_mins,
-               CAST(count(*) % 5 * 50 AS DOUBLE) / 60.0::DOUBLE AS obs_hours, min(o_orderpriority) AS observer,
+               CAST(count(*) % 5 * 50 AS DOUBLE) / 60.0::DOUBLE AS obs_hours, CASE WHEN sum(o_custkey % 1000) % 9 <> 8 THEN 'OB' || CAST(CAST(sum(o_custkey % 1000) % 5 AS BIGINT) AS VARCHAR) END AS observer,
                CASE WHEN count(*) % 7 <> 0 THEN 4 + avg(o_orderkey % 24) / 4 END AS tsm,
                avg(o_custkey % 23) AS wind_speed,
-               CAST(sum(o_custkey) * 37 % 360 AS DOUBLE) AS wind_dir,
-               CAST(1000 + sum(o_orderkey) % 41 AS DOUBLE) AS pressure
+               CAST(sum(o_custkey % 1000) * 37 % 360 AS DOUBLE) AS wind_dir,
+               CAST(1000 + sum(o_orderkey % 1000) % 41 AS DOUBLE) AS pressure
         FROM orders GROUP BY 1"""),
     "effort": (("days",), "SELECT date, total_obs_mins, obs_hours, observer FROM days"),
     "panel_eff": (("panel", "effort"), """
@@ -256,11 +279,30 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                d.wind_speed, cos(d.wind_dir) AS wind_dir_cos, sin(d.wind_dir) AS wind_dir_sin, d.pressure, d.observer,
                sum(p.birds) AS birds
         FROM panel p JOIN days d USING (date)
-        WHERE NOT (p.birds = 0 AND d.obs_hours = 0) AND d.tsm IS NOT NULL
+        WHERE NOT (p.birds = 0 AND d.obs_hours = 0) AND d.tsm IS NOT NULL AND d.observer IS NOT NULL
         GROUP BY ALL"""),
 }
 
 
+_PLAIN = [t for t in TERMS if t != "doy2"]
+_GIVEN = ", ".join(f"{b}::DOUBLE AS b{i + 1}" for i, b in enumerate(GIVEN_SLOPES))
+_VARIANCES = ", ".join(f"{(i + 1) * 4}::DOUBLE / count(*) AS v{i}" for i in range(len(TERMS) + 1))
+ETA_SQL = "(b0 + " + " + ".join(f"b{i + 1} * z_{t}" for i, t in enumerate(TERMS)) + ")"
+
+SQL_VIEWS["scaled"] = (("frame",), """
+        SELECT *, z_doy * z_doy AS z_doy2 FROM (SELECT *, """ + ", ".join(
+            f"coalesce(({t} - avg({t}) OVER w) / nullif(stddev_samp({t}) OVER w, 0), 0) AS z_{t}, "
+            f"avg({t}) OVER w AS mean_{t}, stddev_samp({t}) OVER w AS sd_{t}" for t in _PLAIN
+        ) + " FROM frame WINDOW w AS (PARTITION BY species))")
+SQL_VIEWS["given"] = (("frame",), f"""
+        SELECT species, count(*) AS n, ln(avg(birds)) AS b0, {_GIVEN}, {_VARIANCES}, 1.5::DOUBLE AS theta
+        FROM frame GROUP BY species HAVING avg(birds) > 0""")
+SQL_VIEWS["fitted"] = (("scaled", "given"), f"""
+        SELECT *, mu + mu * mu / theta AS variance, (birds - mu) / sqrt(mu + mu * mu / theta) AS e,
+               pow(theta / (theta + mu), theta) AS p_zero
+        FROM (SELECT s.*, g.* EXCLUDE (species), exp({ETA_SQL}) AS mu FROM scaled s JOIN given g USING (species))""")
+
+
 def with_views(sql: str, *views: str) -> str:
     """Prefix ``sql`` with the stand-ins it needs, in dependency order."""
     order: list[str] = []

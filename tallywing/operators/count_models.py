@@ -17,6 +17,7 @@ only). Fixed effects only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.functions.gamma import gamma_functions
-from tallywing.session import settle
+from tallywing.session import settle, spread
 
 FAMILIES = {"poisson": 0, "nbinom": 1, "nbinom+zi": 2}
 FAMILY_NAMES = {code: name for name, code in FAMILIES.items()}
@@ -293,8 +294,23 @@ def _advance(terms: int, negbin: bool, inflated: bool, covariance: bool):
     return advance
 
 
-def fit_counts(design: DataFrame, models: DataFrame, terms: int, families: Sequence[str], covariance: bool = True) -> DataFrame:
-    """Fit every row of ``models`` (``group, model_id, family, mask, start``) on ``design``.
+class CountFrame(NamedTuple):
+    """A design made ready for any number of fits."""
+
+    blocks: DataFrame
+    moments: DataFrame
+    terms: int
+
+
+def prepare(design: DataFrame, terms: int) -> CountFrame:
+    """Settle a design ``(group, y, x1 .. xp)`` as blocks, with the moments the first guess needs."""
+    table = settle(design.select("group", "y", *[f"x{i}" for i in range(1, terms + 1)]), "design")
+    blocks = settle(pack(spread(table), terms), "blocks")
+    return CountFrame(blocks, settle(group_moments(table), "moments"), terms)
+
+
+def fit_counts(frame: CountFrame, models: DataFrame, families: Sequence[str], covariance: bool = True) -> DataFrame:
+    """Fit every row of ``models`` (``group, model_id, family, mask, start``) on a prepared frame.
 
     ``mask`` says which terms a model has (bit i is term i). Returns one row per model:
     ``group, model_id, family, mask, n, k, loglik, converged, steps, beta, log_theta, zeta, vcov``.
@@ -302,9 +318,7 @@ def fit_counts(design: DataFrame, models: DataFrame, terms: int, families: Seque
     table in the shared folder, which also cuts the lineage.
     """
     negbin, inflated = any(f != "poisson" for f in families), "nbinom+zi" in families
-    frame = design.select("group", "y", *[f"x{i}" for i in range(1, terms + 1)])
-    moments = group_moments(frame)
-    blocks = settle(pack(frame.repartition(frame.sparkSession.sparkContext.defaultParallelism), terms), "blocks")
+    blocks, moments, terms = frame
     state = settle(start_state(models, moments, terms), "fit")
     names = sum_names(terms, negbin, inflated)
     partials, schema = _partial_sums(terms, names), "group string, model_id int, " + ", ".join(f"{n} double" for n in names)
@@ -329,18 +343,14 @@ def fitted(state: DataFrame, terms: int) -> DataFrame:
     )
 
 
-def groups_of(design: DataFrame) -> DataFrame:
-    return design.select("group").distinct()
-
-
 def fit_full(frame: DataFrame, families: Sequence[str], by: str = "species", terms: Sequence[str] | None = None) -> DataFrame:
     """Full model of each family for every group of a model frame."""
     from tallywing.operators.scaling import TERMS, design
 
     terms = list(terms or TERMS)
-    # The frame is read twice (scaling, design) and then once more per step: settle it first.
-    table = settle(design(settle(frame, "frame"), by, terms), "design")
-    return fit_counts(table, full_models(groups_of(table), families, len(terms)), len(terms), families)
+    # The frame is read twice, for its scale and for the design: settle it first.
+    ready = prepare(design(settle(frame, "frame"), by, terms), len(terms))
+    return fit_counts(ready, full_models(ready.moments, families, len(terms)), families)
 
 
 def coefficients(fits: DataFrame, terms: Sequence[str]) -> DataFrame:

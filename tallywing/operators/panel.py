@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywing.functions.numbers import ratio
 from tallywing.operators.recode import lookup
+from tallywing.session import settle
 
 PANEL_COLUMNS = [
     "species", "date", "year", "time_of_obs", "total_obs_mins", "obs_hours", "birds",
@@ -25,13 +26,13 @@ def derive_rates(df: DataFrame) -> DataFrame:
     return hours.withColumn("birds_per_hour", ratio(F.col("birds"), F.col("obs_hours")))
 
 
-def attach_days(panel: DataFrame, days: DataFrame) -> DataFrame:
-    """Left join a table with one row per calendar date.
+def attach_days(panel: DataFrame, days: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
+    """Left join a table with one row per calendar date (or per sheet and date).
 
     The hint rests on the grain: the table is the result of a grouping by date, so it cannot hold
     more than 366 rows per year of survey however many counts there are, and the panel never moves.
     """
-    return panel.join(F.broadcast(days), "date", "left")
+    return panel.join(F.broadcast(days), list(keys), "left")
 
 
 def attach_hand_edits(panel: DataFrame, edits: DataFrame) -> DataFrame:
@@ -118,10 +119,12 @@ def frequent_only(panel: DataFrame, more_than: int) -> DataFrame:
     """Rows of species with more than ``more_than`` detections, with that number beside them.
 
     The count is a separate aggregate joined back, not a window: a window would send every row of a
-    common species to one task.
+    common species to one task. It is settled first, so that the join knows its size.
     """
-    return panel.join(detections(panel).filter(F.col("n") > more_than), "species")
+    return panel.join(settle(detections(panel).filter(F.col("n") > more_than), "detections"), "species")
 
 
 def in_species(panel: DataFrame, chosen: DataFrame) -> DataFrame:
-    return panel.join(chosen.select("species"), "species", "left_semi")
+    """Rows of the chosen species. The list is settled first: a list of true size that fits is
+    broadcast, and the panel is shuffled only for one that does not."""
+    return panel.join(settle(chosen.select("species"), "species"), "species", "left_semi")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywing.operators.count_models import FAMILIES, fit_counts, full_models, groups_of
+from tallywing.operators.count_models import FAMILIES, fit_counts, full_models, prepare
 from tallywing.operators.scaling import NEEDS, TERMS, design
 from tallywing.session import settle
 
@@ -97,12 +97,12 @@ def all_subsets(
 ) -> DataFrame:
     """Every allowed subset of the terms, fitted for every group. ``model_id`` is the term mask."""
     terms = list(terms)
-    table = settle(design(settle(frame, "frame"), by, terms), "design")
-    full = fit_counts(table, full_models(groups_of(table), [family], len(terms)), len(terms), [family])
+    ready = prepare(design(settle(frame, "frame"), by, terms), len(terms))
+    full = fit_counts(ready, full_models(ready.moments, [family], len(terms)), [family])
     start = full.withColumnRenamed("mask", "full_mask").withColumn("family_code", F.lit(FAMILIES[family]))
     schema = "group string, model_id int, family int, mask int, start array<double>"
     candidates = settle(model_space(start, terms, needs).mapInPandas(_subset_starts(terms), schema), "candidates")
-    return fit_counts(table, candidates, len(terms), [family], covariance=False)
+    return fit_counts(ready, candidates, [family], covariance=False)
 
 
 def select_models(frame: DataFrame, family: str, by: str = "species", terms: Sequence[str] = tuple(TERMS)) -> DataFrame:
@@ -116,7 +116,7 @@ def refit_top(frame: DataFrame, ranked: DataFrame, family: str, by: str = "speci
     chosen = top_models(ranked).select(
         "group", "model_id", F.lit(FAMILIES[family]).alias("family"), "mask", F.lit(None).cast("array<double>").alias("start")
     )
-    return fit_counts(design(frame, by, terms), chosen, len(terms), [family])
+    return fit_counts(prepare(design(frame, by, terms), len(terms)), chosen, [family])
 
 
 def compare_families(fits: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from tallywing.operators import panel as p
 from tallywing.operators.recode import factor_code, recode, recode_from_table
 from tallywing.operators.summary import seen_every_period, top, totals
 from tallywing.plans.catalog import query
+from tallywing.session import settle
 from tallywing.sources import tables
 
 
@@ -226,7 +227,7 @@ def extra_union(t):
 @query("join_extra", f"""WITH extra AS ({_EXTRA})
     SELECT species, date, birds, start_time, score FROM panel LEFT JOIN extra USING (date)""", ("panel",), dates=("date",))
 def join_extra(t):
-    return p.attach_hand_edits(t.panel, _extra(t)).select("species", "date", "birds", "start_time", "score")
+    return p.attach_hand_edits(t.panel, settle(_extra(t), "edits")).select("species", "date", "birds", "start_time", "score")
 
 
 @query("join_groups", """
@@ -242,9 +243,9 @@ def join_groups(t):
     FROM panel_eff WHERE year IN (1998, 1999, 2000, 2001)""", ("panel_eff",), dates=("date",))
 def union_years(t):
     """Early seasons lack the derived columns; they come out NULL."""
-    early = [t.panel.filter(F.col("year") == y).select("species", "date", "birds") for y in (1998, 1999)]
-    late = [t.panel_eff.filter(F.col("year") == y).select("species", "date", "birds", "obs_hours", "observer") for y in (2000, 2001)]
-    return p.union_seasons(early + late)
+    early = t.panel.filter(F.col("year").isin(1998, 1999)).select("species", "date", "birds")
+    late = t.panel_eff.filter(F.col("year").isin(2000, 2001)).select("species", "date", "birds", "obs_hours", "observer")
+    return p.union_seasons([early, late])
 
 
 @query("scalar_strings", r"""

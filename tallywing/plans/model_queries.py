@@ -87,7 +87,8 @@ def glm_poisson_moments(t):
     table = settle(t.scaled, "scaled")
     design = table.select(F.col("species").alias("group"), F.col("birds").alias("y"), *[
         F.col(f"z_{c}").alias(f"x{i + 1}") for i, c in enumerate(TERMS)])
-    fits = cm.fit_counts(design, cm.full_models(cm.groups_of(design), ["poisson"], len(TERMS)), len(TERMS), ["poisson"])
+    ready = cm.prepare(design, len(TERMS))
+    fits = cm.fit_counts(ready, cm.full_models(ready.moments, ["poisson"], len(TERMS)), ["poisson"])
     names = ["intercept", *TERMS]
     columns = [F.lit(1.0), *[F.col(f"z_{c}") for c in TERMS]]
     sums = fx.with_fit(table, fits).groupBy("species").agg(*[F.sum(F.col("mean") * x).alias(n) for n, x in zip(names, columns)])
@@ -107,8 +108,8 @@ _WEEKEND = "CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END"
 def glm_poisson_factor(t):
     """Poisson fit on one two-valued covariate, through the same Newton steps as any other fit."""
     weekend = F.dayofweek("date").isin(1, 7).cast("double")
-    design = settle(t.frame.select(F.col("species").alias("group"), F.col("birds").alias("y"), weekend.alias("x1")), "design")
-    fits = cm.fit_counts(design, cm.full_models(cm.groups_of(design), ["poisson"], 1), 1, ["poisson"])
+    ready = cm.prepare(t.frame.select(F.col("species").alias("group"), F.col("birds").alias("y"), weekend.alias("x1")), 1)
+    fits = cm.fit_counts(ready, cm.full_models(ready.moments, ["poisson"], 1), ["poisson"])
     rows = cm.coefficients(fits, ["weekend"])
     return r(rows, 5, "estimate", "se").select(F.col("group").alias("species"), "term", "estimate", "se")
 

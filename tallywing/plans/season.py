@@ -61,20 +61,21 @@ def read_season_bands(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def season_effort(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per survey date: minutes, times, observer, wind and visibility texts."""
+    """One row per sheet and survey date: minutes, times, observer, wind and visibility texts."""
     long = sheets.unpivot_cells(rows.filter("band = 'environment'"), headers, keep=["sheet_year"])
-    years = long.select("file", "sheet_year", "header", "label", "cell")
-    wide = sheets.environment_table(years, layouts.ENVIRONMENT_NAMES, layouts.ENVIRONMENT_COLUMNS)
-    year = F.year("header")
+    wide = sheets.environment_table(
+        long, layouts.ENVIRONMENT_NAMES, layouts.ENVIRONMENT_COLUMNS, keys=("file", "sheet_year", "header")
+    )
+    year = F.col("sheet_year")
     minutes = F.when(
         year >= 2022, parse_minutes(F.col("total_obs_mins"), layouts.ZERO_MINUTES_FROM_2022, year >= 2023)
     ).otherwise(parse_minutes(F.col("total_obs_mins"), layouts.ZERO_MINUTES))
     cleaned = wide.select(
-        F.col("header").alias("date"), minutes.alias("total_obs_mins"),
+        "sheet_year", F.col("header").alias("date"), minutes.alias("total_obs_mins"),
         *[_unknown(c, year).alias(c) for c in layouts.ENVIRONMENT_COLUMNS if c != "total_obs_mins"],
     )
     return cleaned.withColumn("time_of_obs", F.when(
-        F.year("date") == 2016, join_present("; ", F.col("time_of_obs"), F.col("time_of_obs_2"))
+        year == 2016, join_present("; ", F.col("time_of_obs"), F.col("time_of_obs_2"))
     ).otherwise(F.col("time_of_obs"))).drop("time_of_obs_2")
 
 
@@ -103,7 +104,7 @@ def clean_panel(spark: SparkSession, path: str, thousands: str = "null", collaps
     counts = counts.withColumn(
         "species", recode(_by_year(F.col("species"), F.col("sheet_year"), labels.SPECIES_AFTER_SUM), labels.SPECIES_ALL_YEARS)
     )
-    joined = attach_days(counts, season_effort(rows, headers))
+    joined = attach_days(counts, season_effort(rows, headers), ["sheet_year", "date"])
     observer = _by_year(F.col("observer"), F.col("sheet_year"), labels.OBSERVERS_BY_YEAR)
     joined = joined.withColumn("observer", recode(observer, labels.OBSERVERS_ALL_YEARS))
     return derive_rates(joined).select(*PANEL_COLUMNS)

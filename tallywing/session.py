@@ -50,16 +50,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tallywing/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
+def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Three uses: it cuts the lineage of an iterative job, it survives the loss of an executor, and
     it gives the optimizer the true size, so that a later join broadcasts this side only when it is
-    under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. ``spread`` writes one
-    file per core for a frame that is about to be scanned many times.
+    under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    out = df.repartition(spark.sparkContext.defaultParallelism) if spread else df
-    out.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Give every core a share of a settled table that is smaller than the cluster; a table with a
+    split per core or more is left as its files lie."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)

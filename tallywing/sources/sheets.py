@@ -92,10 +92,12 @@ def unpivot_cells(rows: DataFrame, headers: DataFrame, value: str = "cell", keep
     return long.join(headers.select("file", "pos", "header"), ["file", "pos"]).drop("pos")
 
 
-def environment_table(long: DataFrame, names: dict[str, str], columns: Sequence[str], day: str = "header") -> DataFrame:
+def environment_table(
+    long: DataFrame, names: dict[str, str], columns: Sequence[str], keys: Sequence[str] = ("file", "header")
+) -> DataFrame:
     """Environment rows to one column per variable, one row per sheet and day."""
     from tallywing.functions.text import dotted_label
     from tallywing.operators.recode import lookup
 
     named = long.withColumn("variable", lookup(dotted_label(F.col("label")), names))
-    return named.groupBy("file", day).pivot("variable", list(columns)).agg(F.first("cell", ignorenulls=True))
+    return named.groupBy(*keys).pivot("variable", list(columns)).agg(F.first("cell", ignorenulls=True))

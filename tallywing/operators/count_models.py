@@ -242,6 +242,18 @@ def _advance(terms: int, negbin: bool, inflated: bool, covariance: bool):
             free[:, at] = (family >= needed) & ~pinned
         return free
 
+    def runaway(params: np.ndarray, grad: np.ndarray, newton: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Steps straight to the bound for a parameter whose best value is infinite.
+
+        There the likelihood flattens like an exponential and Newton creeps by about 1 a step. A jump
+        that lowers the likelihood is halved like any other step.
+        """
+        jump = np.zeros_like(newton)
+        for at, sign, far, bound in ((size, 1.0, 5.0, LOG_THETA_RANGE[1]), (size + 1, -1.0, 4.0, ZETA_RANGE[0])):
+            creeping = (sign * params[:, at] > far) & (sign * grad[:, at] > 0) & (np.abs(sign * newton[:, at] - 1) < 0.5)
+            jump[:, at] = np.where(creeping & free[:, at], bound - params[:, at], 0.0)
+        return jump
+
     def step_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         params, base, step = (np.stack(pdf[c].to_numpy()) for c in ("params", "base", "step"))
         loglik, base_loglik = pdf["ll"].to_numpy(), pdf["base_loglik"].to_numpy()
@@ -260,7 +272,9 @@ def _advance(terms: int, negbin: bool, inflated: bool, covariance: bool):
         sizes = np.maximum(np.abs(values), 1e-10 * np.abs(values).max(axis=1, keepdims=True))
         newton = np.einsum("mij,mj->mi", vectors, np.einsum("mji,mj->mi", vectors, slope) / sizes)
         gain = np.einsum("mi,mi->m", slope, newton)
+        away = runaway(params, grad, newton, free)
         newton /= np.maximum(1.0, np.abs(newton).max(axis=1) / LONGEST_STEP)[:, None]
+        newton = np.where(away != 0, away, newton)
 
         done = accepted & (gain < TOLERANCE)
         halvings = np.where(accepted, 0, pdf["halvings"].to_numpy() + 1)

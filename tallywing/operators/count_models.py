@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ TOLERANCE = 1e-8
 MAX_STEPS = 60
 MAX_HALVINGS = 25
 LONGEST_STEP = 2.0
+BLOCK_ROWS = 2_048
 BLOCK_CELLS = 400_000  # rows x models worked on at a time, so that a block stays in cache
 
 STATE = (
@@ -99,7 +101,7 @@ def sum_names(terms: int, negbin: bool, inflated: bool) -> list[str]:
 
 
 def pack(design: DataFrame, terms: int) -> DataFrame:
-    """Rows to blocks ``(group, rows, x, y)``; a block never holds more than one Arrow batch.
+    """Rows to blocks ``(group, rows, x, y)`` of at most ``BLOCK_ROWS`` rows.
 
     The sort is inside each partition, so packing moves no data.
     """
@@ -107,10 +109,12 @@ def pack(design: DataFrame, terms: int) -> DataFrame:
 
     def blocks(batches):
         for pdf in batches:
-            for group, part in pdf.groupby("group", sort=False):
-                yield pd.DataFrame({
-                    "group": [group], "rows": [len(part)], "x": [part[columns].to_numpy().ravel()], "y": [part["y"].to_numpy()],
-                })
+            place = pdf.groupby("group", sort=False).cumcount() // BLOCK_ROWS
+            parts = [(group, part) for (group, _), part in pdf.groupby(["group", place], sort=False)]
+            yield pd.DataFrame({
+                "group": [g for g, _ in parts], "rows": [len(part) for _, part in parts],
+                "x": [part[columns].to_numpy().ravel() for _, part in parts], "y": [part["y"].to_numpy() for _, part in parts],
+            })
 
     schema = "group string, rows int, x array<double>, y array<double>"
     return design.sortWithinPartitions("group").mapInPandas(blocks, schema)
@@ -183,17 +187,36 @@ def _block_sums(x: np.ndarray, y: np.ndarray, family: np.ndarray, params: np.nda
     return out
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """Rows of an Arrow list column as numpy views."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+
+PARTIAL = "group string, model_id int, sums array<double>"
+
+
 def _partial_sums(terms: int, names: list[str]):
+    """Blocks beside their models to one row of sums per block and model, Arrow in and Arrow out."""
+
     def partials(batches):
-        for pdf in batches:
-            for block in pdf.itertuples(index=False):
-                x = np.asarray(block.x, dtype=float).reshape(block.rows, terms)
-                params = np.asarray(block.params, dtype=float).reshape(len(block.model_id), terms + 3)
-                sums = _block_sums(x, np.asarray(block.y, dtype=float), np.asarray(block.family), params, names)
-                part = pd.DataFrame(sums, columns=names)
-                part.insert(0, "model_id", np.asarray(block.model_id))
-                part.insert(0, "group", block.group)
-                yield part
+        for batch in batches:
+            column = {name: batch.column(name) for name in batch.schema.names}
+            parts, models, groups = [], [], []
+            for group, x, y, ids, family, params in zip(
+                column["group"].to_pylist(), *(_lists(column[c]) for c in ("x", "y", "model_id", "family", "params"))
+            ):
+                parts.append(_block_sums(x.reshape(len(y), terms), y, family, params.reshape(len(ids), terms + 3), names))
+                models.append(ids)
+                groups += [group] * len(ids)
+            if not parts:
+                continue
+            sums = np.concatenate(parts).ravel()
+            ends = np.arange(0, len(sums) + 1, len(names), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(groups, pa.string()), pa.array(np.concatenate(models), pa.int32()), pa.ListArray.from_arrays(ends, sums)],
+                names=["group", "model_id", "sums"],
+            )
 
     return partials
 
@@ -214,22 +237,29 @@ def _advance(terms: int, negbin: bool, inflated: bool, covariance: bool):
     """One safeguarded Newton step for a batch of models, each from its own sums."""
     size, full = terms + 1, terms + 3
 
-    def assemble(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        m = len(pdf)
-        grad, hess = np.zeros((m, full)), np.zeros((m, full, full))
+    where = {name: i for i, name in enumerate(sum_names(terms, negbin, inflated))}
+
+    def assemble(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grad, hess = np.zeros((len(sums), full)), np.zeros((len(sums), full, full))
+
+        def put(a: int, b: int, name: str) -> None:
+            hess[:, a, b] = hess[:, b, a] = sums[:, where[name]]
+
         for j in range(size):
-            grad[:, j] = pdf[f"g{j}"]
+            grad[:, j] = sums[:, where[f"g{j}"]]
             for k in range(j, size):
-                hess[:, j, k] = hess[:, k, j] = pdf[f"h{j}_{k}"]
+                put(j, k, f"h{j}_{k}")
+            if negbin:
+                put(j, size, f"ea{j}")
+            if inflated:
+                put(j, size + 1, f"ez{j}")
         if negbin:
-            grad[:, size], hess[:, size, size] = pdf["ga"], pdf["haa"]
-            for j in range(size):
-                hess[:, j, size] = hess[:, size, j] = pdf[f"ea{j}"]
+            grad[:, size] = sums[:, where["ga"]]
+            put(size, size, "haa")
         if inflated:
-            grad[:, size + 1], hess[:, size + 1, size + 1] = pdf["gz"], pdf["hzz"]
-            hess[:, size, size + 1] = hess[:, size + 1, size] = pdf["haz"]
-            for j in range(size):
-                hess[:, j, size + 1] = hess[:, size + 1, j] = pdf[f"ez{j}"]
+            grad[:, size + 1] = sums[:, where["gz"]]
+            put(size + 1, size + 1, "hzz")
+            put(size, size + 1, "haz")
         return grad, hess
 
     def free_parameters(pdf: pd.DataFrame, params: np.ndarray, grad: np.ndarray) -> np.ndarray:
@@ -256,8 +286,9 @@ def _advance(terms: int, negbin: bool, inflated: bool, covariance: bool):
 
     def step_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         params, base, step = (np.stack(pdf[c].to_numpy()) for c in ("params", "base", "step"))
-        loglik, base_loglik = pdf["ll"].to_numpy(), pdf["base_loglik"].to_numpy()
-        grad, hess = assemble(pdf)
+        sums = np.stack(pdf["sums"].to_numpy())
+        loglik, base_loglik = sums[:, where["ll"]], pdf["base_loglik"].to_numpy()
+        grad, hess = assemble(sums)
         free = free_parameters(pdf, params, grad)
         accepted = np.isfinite(loglik) & (loglik >= base_loglik - 1e-9 * (1 + np.abs(base_loglik)))
         accepted |= np.isneginf(base_loglik)
@@ -335,11 +366,11 @@ def fit_counts(frame: CountFrame, models: DataFrame, families: Sequence[str], co
     blocks, moments, terms = frame
     state = settle(start_state(models, moments, terms), "fit")
     names = sum_names(terms, negbin, inflated)
-    partials, schema = _partial_sums(terms, names), "group string, model_id int, " + ", ".join(f"{n} double" for n in names)
-    advance, sums = _advance(terms, negbin, inflated, covariance), [F.sum(n).alias(n) for n in names]
+    partials, advance = _partial_sums(terms, names), _advance(terms, negbin, inflated, covariance)
+    sums = F.array(*[F.sum(F.get("sums", i)) for i in range(len(names))]).alias("sums")
     for _ in range(MAX_STEPS):
         met = blocks.join(running_models(state), "group")
-        summed = met.mapInPandas(partials, schema).groupBy("group", "model_id").agg(*sums)
+        summed = met.mapInArrow(partials, PARTIAL).groupBy("group", "model_id").agg(sums)
         state = settle(state.join(summed, ["group", "model_id"], "left").mapInPandas(advance, STATE), "fit")
         if state.filter(~F.col("done")).isEmpty():
             break

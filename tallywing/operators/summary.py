@@ -64,11 +64,14 @@ def totals(panel: DataFrame, *keys: str, name: str = "total_birds") -> DataFrame
 
 
 def rate_by_year(panel: DataFrame) -> DataFrame:
-    """Birds per hour by year, from two aggregates of a handful of rows each."""
-    return (
-        totals(panel, "year").join(effort_by_year(panel), "year", "left")
-        .withColumn("birds_per_hour", ratio(F.col("total_birds"), F.col("total_effort")))
-    )
+    """Birds per hour by year, each day's effort taken once.
+
+    Days are the finer grain of both figures: one scan reduces the panel to a row per day and effort,
+    and from those rows birds and hours are added up together, with nothing to join.
+    """
+    by_day = panel.groupBy("year", "date", "obs_hours").agg(F.sum("birds").alias("birds"))
+    both = by_day.groupBy("year").agg(F.sum("birds").alias("total_birds"), F.sum("obs_hours").alias("total_effort"))
+    return both.withColumn("birds_per_hour", ratio(F.col("total_birds"), F.col("total_effort")))
 
 
 def rate_by(panel: DataFrame, *keys: str) -> DataFrame:

@@ -61,12 +61,24 @@ def log_likelihood(rows: DataFrame, by: str = "species", y: str = "birds") -> Da
     return rows.groupBy(by).agg(F.sum(l).alias("loglik"), F.count("*").alias("n"), F.max("k").alias("k"))
 
 
-def diagnostics(rows: DataFrame, by: str = "species", period: str = "year") -> DataFrame:
-    """All checks side by side, one row per group."""
-    out = dispersion(rows, by).drop("chi2")
-    for part in (zero_ratio(rows, by).select(by, "zero_ratio"), durbin_watson(rows, by, period), outlier_share(rows, by)):
-        out = out.join(part, by)
-    return out
+def diagnostics(rows: DataFrame, by: str = "species", period: str = "year", y: str = "birds", cut: float = LARGE_RESIDUAL) -> DataFrame:
+    """All checks side by side, one row per group, from a single pass over the rows.
+
+    Rows are reduced to periods of a group; every figure is a sum over those.
+    """
+    e = F.col("e")
+    parts = rows.withColumn("e", pearson(y)).groupBy(by, period).agg(
+        F.count("*").alias("n"), F.max("k").alias("k"), F.sum(e * e).alias("chi2"), F.avg(e).alias("mean_e"),
+        F.sum((F.col(y) == 0).cast("int")).alias("observed"), F.sum("p_zero").alias("expected"),
+        F.sum((F.abs(e) > cut).cast("int")).alias("big"),
+    )
+    step = F.col("mean_e") - F.lag("mean_e").over(Window.partitionBy(by).orderBy(period))
+    return parts.withColumn("step", step).groupBy(by).agg(
+        ratio(F.sum("chi2"), F.sum("n") - F.max("k")).alias("dispersion"),
+        ratio(F.sum("observed"), F.sum("expected")).alias("zero_ratio"),
+        ratio(F.sum(F.col("step") * F.col("step")), F.sum(F.col("mean_e") * F.col("mean_e"))).alias("durbin_watson"),
+        F.sum("big").alias("outliers"), ratio(F.sum("big"), F.sum("n")).alias("outlier_share"),
+    )
 
 
 def null_model(frame: DataFrame, by: str = "species", y: str = "birds") -> DataFrame:

@@ -44,7 +44,7 @@ def model_frame(t):
        ("scaled",), dates=("date",))
 def standardise(t):
     names = ["year", "doy", "obs_hours"]
-    rows = scaling.standardise(settle(t.frame, "frame"), names)
+    rows = scaling.standardise(t.stored_frame, names)
     return r(rows, 6, *[f"z_{c}" for c in names]).select("species", "date", *[f"z_{c}" for c in names])
 
 
@@ -216,21 +216,21 @@ def model_selection(t):
 
 
 @query("predict_grid", """
-    SELECT DISTINCT species, CAST(year AS DOUBLE) AS value, round(exp(b0 + b1 * z_year), 6) AS predicted,
-           round(exp(b0 + b1 * z_year - 1.96 * sqrt(v0 + z_year * z_year * v1)), 6) AS conf_low,
-           round(exp(b0 + b1 * z_year + 1.96 * sqrt(v0 + z_year * z_year * v1)), 6) AS conf_high
+    SELECT DISTINCT species, CAST(year AS DOUBLE) AS value, round(exp(b0 + b1 * z_year), 4) AS predicted,
+           round(exp(b0 + b1 * z_year - 1.96 * sqrt(v0 + z_year * z_year * v1)), 4) AS conf_low,
+           round(exp(b0 + b1 * z_year + 1.96 * sqrt(v0 + z_year * z_year * v1)), 4) AS conf_high
     FROM fitted""", ("fitted",))
 def predict_grid(t):
-    return r(fx.predict_grid(t.scaled, t.given, "year"), 6, "predicted", "conf_low", "conf_high")
+    return r(fx.predict_grid(t.scaled, t.given, "year"), 4, "predicted", "conf_low", "conf_high")
 
 
 @query("predict_grid_doy", """
-    SELECT DISTINCT species, CAST(doy AS DOUBLE) AS value, round(exp(b0 + b3 * z_doy + b4 * z_doy2), 6) AS predicted,
-           round(exp(b0 + b3 * z_doy + b4 * z_doy2 - 1.96 * sqrt(v0 + z_doy * z_doy * v3 + z_doy2 * z_doy2 * v4)), 6) AS conf_low,
-           round(exp(b0 + b3 * z_doy + b4 * z_doy2 + 1.96 * sqrt(v0 + z_doy * z_doy * v3 + z_doy2 * z_doy2 * v4)), 6) AS conf_high
+    SELECT DISTINCT species, CAST(doy AS DOUBLE) AS value, round(exp(b0 + b3 * z_doy + b4 * z_doy2), 4) AS predicted,
+           round(exp(b0 + b3 * z_doy + b4 * z_doy2 - 1.96 * sqrt(v0 + z_doy * z_doy * v3 + z_doy2 * z_doy2 * v4)), 4) AS conf_low,
+           round(exp(b0 + b3 * z_doy + b4 * z_doy2 + 1.96 * sqrt(v0 + z_doy * z_doy * v3 + z_doy2 * z_doy2 * v4)), 4) AS conf_high
     FROM fitted""", ("fitted",))
 def predict_grid_doy(t):
-    return r(fx.predict_grid(t.scaled, t.given, "doy"), 6, "predicted", "conf_low", "conf_high")
+    return r(fx.predict_grid(t.scaled, t.given, "doy"), 4, "predicted", "conf_low", "conf_high")
 
 
 def _ame_sql(term: str) -> str:
@@ -253,10 +253,10 @@ _AME = "m AS (SELECT species, " + ", ".join(
 
 
 @query("avg_marginal_effect", f"""WITH {_AME}
-    SELECT species, term, round(estimate, 6) AS estimate, round(estimate - 1.96 * se, 6) AS conf_low,
-           round(estimate + 1.96 * se, 6) AS conf_high FROM e""", ("fitted",))
+    SELECT species, term, round(estimate, 4) AS estimate, round(estimate - 1.96 * se, 4) AS conf_low,
+           round(estimate + 1.96 * se, 4) AS conf_high FROM e""", ("fitted",))
 def avg_marginal_effect(t):
-    return r(fx.marginal_effects(t.scaled, t.given), 6, "estimate", "conf_low", "conf_high")
+    return r(fx.marginal_effects(t.scaled, t.given), 4, "estimate", "conf_low", "conf_high")
 
 
 def _text(value: str) -> str:
@@ -279,23 +279,21 @@ def effects_table(t):
 
 
 @query("pivot_terms", f"""WITH {_AME}
-    SELECT species, """ + ", ".join(f"round(max(CASE WHEN term = '{t}' THEN estimate END), 6) AS {t}" for t in fx.TABLE_TERMS) +
+    SELECT species, """ + ", ".join(f"round(max(CASE WHEN term = '{t}' THEN estimate END), 4) AS {t}" for t in fx.TABLE_TERMS) +
        " FROM e GROUP BY species", ("fitted",))
 def pivot_terms(t):
-    return r(fx.pivot_terms(fx.marginal_effects(t.scaled, t.given), "estimate"), 6, *fx.TABLE_TERMS)
+    return r(fx.pivot_terms(fx.marginal_effects(t.scaled, t.given), "estimate"), 4, *fx.TABLE_TERMS)
 
 
 @query("effects_of_fit")
 def effects_of_fit(t):
     """Marginal effects of the fitted negative binomial model of every species."""
-    frame = settle(t.frame, "frame")
-    return fx.marginal_effects(scaling.with_terms(frame), cm.fit_full(frame, ["nbinom"]))
+    return fx.marginal_effects(t.scaled, cm.fit_full(t.stored_frame, ["nbinom"]))
 
 
 @query("diagnostics_of_fit")
 def diagnostics_of_fit(t):
-    frame = settle(t.frame, "frame")
-    rows = fx.with_fit(scaling.with_terms(frame), cm.fit_full(frame, ["nbinom+zi"]))
+    rows = fx.with_fit(t.scaled, cm.fit_full(t.stored_frame, ["nbinom+zi"]))
     return dg.diagnostics(rows)
 
 

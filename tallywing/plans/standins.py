@@ -137,8 +137,8 @@ class Tables:
             return [file.alias("file"), idx.cast("int").alias("row_idx"), label.alias("label"), cells.alias("cells")]
 
         month = F.month("date")
-        # A sheet is a file somebody typed: the counts are written once, so that every step below
-        # reads a page and not the shipments.
+        # A sheet is a file somebody typed: it is written once, so that the steps on it read a page and
+        # not the shipments.
         counts = settle(self.panel.groupBy("species", "year").agg(
             *[F.sum(F.when(month == m, F.col("birds"))).cast("bigint").alias(f"m{m}") for m in MONTHS],
             F.sum("birds").cast("bigint").alias("m13"),
@@ -166,7 +166,7 @@ class Tables:
             .when(r == 3, "Visibility").when(r == 4, "").when(r == 900, "Total").otherwise("Notes")
         )
         top_cells = F.when(r == 0, head).when(r == 1, minutes).when(r == 3, seen).otherwise(blank)
-        return tops.select(*row(year, r, label, top_cells)).unionByName(species)
+        return settle(tops.select(*row(year, r, label, top_cells)).unionByName(species), "sheets")
 
     @cached_property
     def frame(self) -> DataFrame:
@@ -175,10 +175,15 @@ class Tables:
         return model_frame(covariates(drop_no_effort(joined)))
 
 
+    @cached_property
+    def stored_frame(self) -> DataFrame:
+        """The model frame, written once for the jobs that read it more than once."""
+        return settle(self.frame, "frame")
+
     @cached_property
     def scaled(self) -> DataFrame:
-        """Model frame with standardised terms. Written once: its rows feed a statistic and a join."""
-        return with_terms(settle(self.frame, "frame"))
+        """Model frame with standardised terms."""
+        return with_terms(self.stored_frame)
 
     @cached_property
     def given(self) -> DataFrame:
@@ -188,7 +193,7 @@ class Tables:
         cells = [F.lit(0.0)] * (size * size)
         for i in range(size):
             cells[i * size + i] = F.lit((i + 1.0) * 4) / F.col("n")
-        means = self.frame.groupBy("species").agg(F.avg("birds").alias("mean"), F.count("*").alias("n")).filter("mean > 0")
+        means = self.stored_frame.groupBy("species").agg(F.avg("birds").alias("mean"), F.count("*").alias("n")).filter("mean > 0")
         return means.select(
             F.col("species").alias("group"), F.lit("nbinom").alias("family"), F.lit((1 << len(TERMS)) - 1).alias("mask"),
             F.lit(size + 1).alias("k"), "n", F.array(F.log("mean"), *[F.lit(b) for b in GIVEN_SLOPES]).alias("beta"),

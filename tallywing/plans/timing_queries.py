@@ -91,17 +91,17 @@ _PREDICT_SPECIES = f"""{_TESTED},
     ps AS (SELECT s.species, d.year, mean_y + slope * (d.year - mean_x) AS predicted,
                   sqrt(sigma2 * (1.0::DOUBLE / n + (d.year - mean_x) * (d.year - mean_x) / sxx)) AS se
            FROM (SELECT DISTINCT species, year FROM days_by WHERE mean_doy IS NOT NULL) d JOIN s USING (species))"""
-_BANDS = "round(predicted, 6) AS predicted, round(predicted - 1.96 * se, 6) AS conf_low, round(predicted + 1.96 * se, 6) AS conf_high"
+_BANDS = "round(predicted, 4) AS predicted, round(predicted - 1.96 * se, 4) AS conf_low, round(predicted + 1.96 * se, 4) AS conf_high"
 
 
 @query("timing_predict_all", f"WITH {_PREDICT_ALL} SELECT year, {_BANDS} FROM pr", ("frame",))
 def timing_predict_all(t):
-    return _r(tm.predict_all(*_settled(t)), 6, "predicted", "conf_low", "conf_high")
+    return _r(tm.predict_all(*_settled(t)), 4, "predicted", "conf_low", "conf_high")
 
 
 @query("timing_predict", f"WITH {_PREDICT_SPECIES} SELECT species, year, {_BANDS} FROM ps", ("frame",))
 def timing_predict(t):
-    return _r(tm.predict_species(*_settled(t)), 6, "predicted", "conf_low", "conf_high")
+    return _r(tm.predict_species(*_settled(t)), 4, "predicted", "conf_low", "conf_high")
 
 
 @query("timing_shift", f"""WITH {_PREDICT_SPECIES}

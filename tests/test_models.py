@@ -200,6 +200,9 @@ def test_diagnostics_of_a_good_fit(spark, data):
     got = dg.diagnostics(rows).first()
     assert 0.7 < got["dispersion"] < 1.3 and 0.7 < got["zero_ratio"] < 1.3
     assert 0 < got["durbin_watson"] < 4.1 and got["outlier_share"] < 0.05
+    single = [dg.dispersion(rows), dg.zero_ratio(rows), dg.durbin_watson(rows), dg.outlier_share(rows)]
+    for part, name in zip(single, ("dispersion", "zero_ratio", "durbin_watson", "outlier_share")):
+        assert got[name] == pytest.approx(part.first()[name])
     assert dg.log_likelihood(rows).first()["loglik"] == pytest.approx(fit.first()["loglik"], abs=1e-6)
 
 

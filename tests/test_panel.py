@@ -94,6 +94,22 @@ def test_day_part_bounds(spark):
     assert got.count() == 2
 
 
+def test_station_file(spark):
+    import tempfile
+
+    from tallywing.sources.weather import read_station
+
+    path = tempfile.mkdtemp(prefix="tallywing-station-") + "/station.csv"
+    with open(path, "w") as f:
+        f.write("Date_Time,altimeter_set_1,wind_speed_set_1,wind_direction_set_1,pressure_set_1d\n"
+                ",Pascals,m/s,Degrees,Pascals\n2023-11-05T02:00:00Z,101,2.5,270,1001.23456\n2023-11-06T02:00:00Z,101,,90,x\n")
+    got = [tuple(r) for r in read_station(spark, path).orderBy("datetime").collect()]
+    assert got == [
+        (datetime.datetime(2023, 11, 4, 22, 0), datetime.date(2023, 11, 4), 2.5, 270.0, 1001.235),  # summer time
+        (datetime.datetime(2023, 11, 5, 21, 0), datetime.date(2023, 11, 5), None, 90.0, None),
+    ]
+
+
 def test_station_names():
     from tallywing.sources.weather import plain_name
 

@@ -2,8 +2,8 @@
 
 Effects and diagnostics are checked exactly at given coefficients. Fits are iterative, so plain SQL
 cannot repeat them; two of their consequences can be checked: a Poisson fit reproduces the sums of
-every covariate (``glm_poisson_moments``), and with one two-valued covariate the fit has a closed
-form (``glm_poisson_factor``).
+every covariate (``glm_poisson_moments``), and with one two-valued covariate the coefficients have a
+closed form (``glm_poisson_factor``, ``glm_nb2_factor``).
 """
 
 from __future__ import annotations
@@ -98,6 +98,14 @@ def glm_poisson_moments(t):
 _WEEKEND = "CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END"
 
 
+def _weekend_fit(t, family):
+    """Fit on one two-valued covariate, through the same Newton steps as any other fit."""
+    weekend = F.dayofweek("date").isin(1, 7).cast("double")
+    ready = cm.prepare(t.frame.select(F.col("species").alias("group"), F.col("birds").alias("y"), weekend.alias("x1")), 1)
+    fits = cm.fit_counts(ready, cm.full_models(ready.moments, [family], 1), [family])
+    return r(cm.coefficients(fits, ["weekend"]), 5, "estimate", "se")
+
+
 @query("glm_poisson_factor", f"""WITH
     s AS (SELECT species, {_WEEKEND} AS x, sum(birds) AS total, avg(birds) AS mean FROM frame GROUP BY ALL),
     w AS (SELECT species, max(CASE WHEN x = 0 THEN total END) AS t0, max(CASE WHEN x = 0 THEN mean END) AS m0,
@@ -106,12 +114,18 @@ _WEEKEND = "CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END"
     UNION ALL
     SELECT species, 'weekend', round(ln(m1) - ln(m0), 5), round(sqrt(1 / t0 + 1 / t1), 5) FROM w""", ("frame",))
 def glm_poisson_factor(t):
-    """Poisson fit on one two-valued covariate, through the same Newton steps as any other fit."""
-    weekend = F.dayofweek("date").isin(1, 7).cast("double")
-    ready = cm.prepare(t.frame.select(F.col("species").alias("group"), F.col("birds").alias("y"), weekend.alias("x1")), 1)
-    fits = cm.fit_counts(ready, cm.full_models(ready.moments, ["poisson"], 1), ["poisson"])
-    rows = cm.coefficients(fits, ["weekend"])
-    return r(rows, 5, "estimate", "se").select(F.col("group").alias("species"), "term", "estimate", "se")
+    return _weekend_fit(t, "poisson").select(F.col("group").alias("species"), "term", "estimate", "se")
+
+
+@query("glm_nb2_factor", f"""WITH
+    s AS (SELECT species, {_WEEKEND} AS x, avg(birds) AS mean FROM frame GROUP BY ALL),
+    w AS (SELECT species, max(CASE WHEN x = 0 THEN mean END) AS m0, max(CASE WHEN x = 1 THEN mean END) AS m1 FROM s GROUP BY species)
+    SELECT species, 'intercept' AS term, round(ln(m0), 5) AS estimate FROM w
+    UNION ALL
+    SELECT species, 'weekend', round(ln(m1) - ln(m0), 5) FROM w""", ("frame",))
+def glm_nb2_factor(t):
+    """Negative binomial: whatever theta is, each class is fitted at its own mean."""
+    return _weekend_fit(t, "nbinom").select(F.col("group").alias("species"), "term", "estimate")
 
 
 @query("glm_nb2")

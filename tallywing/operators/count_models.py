@@ -7,8 +7,9 @@ curvature. Spark adds the partial sums per (group, model) and a small matrix per
 group that holds most of the rows is simply more blocks, spread over all tasks. All groups, families
 and candidate models move together: a step for ten thousand models is the same single job.
 
-The block sums are matrix products. Written as column expressions over the rows-by-models join, the
-same sums took about forty times longer, since the eighty sums of a row outgrow one compiled method.
+The block sums are matrix products. Written as column expressions over the rows-by-models join, a
+selection over 9,600 models took 215 s instead of 30 s, since the eighty sums of a row outgrow one
+compiled method.
 
 Negative binomial: variance mu + mu^2/theta. Zero inflation: one probability per group (intercept
 only). Fixed effects only.

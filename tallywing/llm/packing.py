@@ -247,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: in
         _write(out, rest, None)
         yield out.batch()
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         out, base, number = Out(_ARROW), (1 << 62) + (key[0].as_py() << 32), 0
         rows = sorted((tuple(r[c] for c in ("part", "offset", "doc_id", "start", "ids", "doc_tokens")) for r in table.to_pylist()),
                       key=lambda r: r[:2])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import ann, mixing, packing, rules
+from tallywing.llm import ann, mixing, packing, rules, warc
 from tallywing.llm.common import table
 
 
@@ -36,7 +36,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op7_quality_rules)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.archive(table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op7_quality_rules, op8_warc)}
 
 ORACLES: dict[str, str] = {
     "op2_nearest": """
@@ -50,4 +55,11 @@ ORACLES: dict[str, str] = {
             FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        k AS (SELECT *, strlen(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS kept FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+        FROM k""",
 }

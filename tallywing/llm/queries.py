@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import ann, mixing, packing, rules, warc
+from tallywing.llm import ann, licence, mixing, packing, rules, warc
 from tallywing.llm.common import table
 
 
@@ -41,7 +41,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op7_quality_rules, op8_warc)}
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence.labelled(licence.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op7_quality_rules, op8_warc, op9_licences)}
 
 ORACLES: dict[str, str] = {
     "op2_nearest": """

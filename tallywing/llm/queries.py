@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import ann, licence, mixing, packing, rules, warc
+from tallywing.llm import ann, gam, licence, mixing, packing, rules, warc
 from tallywing.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -45,7 +49,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.labelled(licence.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op7_quality_rules, op8_warc, op9_licences)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op6_classifier, op7_quality_rules, op8_warc, op9_licences)}
 
 ORACLES: dict[str, str] = {
     "op2_nearest": """

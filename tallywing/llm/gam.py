@@ -47,8 +47,7 @@ class Model:
         """The probability of label 1 as one expression of the feature columns."""
 
         def cell(value: Column, cuts: list[float]) -> Column:
-            below = [(value > F.lit(c)).cast("int") for c in cuts]
-            return sum(below[1:], below[0]) if below else F.lit(0)
+            return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: value > c)) if cuts else F.lit(0)
 
         def entry(table: np.ndarray, at: Column) -> Column:
             return F.array(*[F.lit(float(v)) for v in table.ravel()])[at]

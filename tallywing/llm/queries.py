@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import ann, gam, licence, mixing, packing, rules, warc
+from tallywing.llm import ann, dedup_bytes, gam, licence, mixing, packing, rules, warc
 from tallywing.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_bytes.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), "n_removed", "n_spans",
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +55,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.labelled(licence.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op5_mixing, op6_classifier, op7_quality_rules, op8_warc, op9_licences)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op4_repeated_bytes, op5_mixing, op6_classifier, op7_quality_rules, op8_warc, op9_licences)}
 
 ORACLES: dict[str, str] = {
     "op2_nearest": """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+import types
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,4 +46,12 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
 
 
-__all__ = ["WORD", "table", "word_count", "free_names", "labels_of", "settle"]
+def worker_keeps(key: tuple, make: Callable):
+    """``make()``, once for each worker process: functions travel to workers by value, so a module's own table would not outlive a task."""
+    kept = sys.modules.setdefault("tallywing_worker", types.ModuleType("tallywing_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+__all__ = ["WORD", "table", "word_count", "free_names", "labels_of", "settle", "worker_keeps"]

@@ -86,20 +86,17 @@ def compare_anchors(buffer: Buffers):
 
 def name_strings(buffer: list[tuple]):
     """Rows (bucket := name, other := q-gram bucket, ..) of the strings asked for; ``buffer`` has (doc, tag, bytes, asked)."""
-    doc, tag, start, name, of = ([] for _ in range(5))
-    for d, t, data, asked in buffer:
-        for s, more, bucket in asked:
-            # the names of a short stretch of text alone are those it has in the whole
-            stretch = np.frombuffer(data, np.uint8, more + LENGTH, s)
-            names = string_names(q_gram_buckets(stretch), np.arange(more + 1))
-            doc.append(np.full(more + 1, d, np.int64))
-            tag.append(np.full(more + 1, t, np.int64))
-            start.append(np.arange(s, s + more + 1))
-            name.append(names)
-            of.append(np.full(more + 1, bucket, np.int64))
-    if not doc:
+    stretches = [(d, t, s, more, bucket, data[s: s + more + LENGTH]) for d, t, data, asked in buffer for s, more, bucket in asked]
+    if not stretches:
         return
-    doc, tag, start, name, of = map(np.concatenate, (doc, tag, start, name, of))
+    # laid end to end: the names of a stretch of text alone are those it has in the whole
+    count = np.asarray([r[3] + 1 for r in stretches])
+    each = np.repeat(np.arange(len(stretches)), count)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    base = np.concatenate(([0], np.cumsum(count + LENGTH - 1)))[:-1]
+    name = string_names(q_gram_buckets(np.frombuffer(b"".join(r[5] for r in stretches), np.uint8)), base[each] + step)
+    doc, tag, first, of = (np.asarray([r[i] for r in stretches], np.int64)[each] for i in (0, 1, 2, 4))
+    start = first + step
     copy = repeated_in((doc, tag, start), (name, of))
     pairs, text = np.unique(np.stack([doc[copy], tag[copy]]), axis=1, return_inverse=True)
     yield _spans(pairs[0], pairs[1], text.ravel(), start[copy], start[copy] + LENGTH)

@@ -13,8 +13,6 @@ from __future__ import annotations
 
 import re
 import string
-import sys
-import types
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywing.llm.common import worker_keeps
 from tallywing.session import scratch_path
 
 LENGTH, OPEN_WINDOWS, END_ID = 2048, 64, 1
@@ -48,7 +47,7 @@ class WordIds(dict):
     """
 
     marks = "".join(sorted(set(string.punctuation) - set("'<")))
-    odd = re.compile("<\\||[\x1c-\x1f\u03a3]")  # special tokens; what Python alone splits at; a letter with two lower cases
+    odd = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")  # special tokens; what Python alone splits at; a letter with two lower cases
     runs = re.compile(r"[^\w\s][.,]\s|_[.,]\s")  # marks that stand together are one part
 
     def __init__(self, path: str):
@@ -94,7 +93,7 @@ class WordIds(dict):
             self[word] = b"".join(map(self.__getitem__, parts))
 
     def words(self, text: str) -> list[str] | None:
-        if self.odd.search(text):
+        if any(mark in text for mark in self.odd):
             return None
         if text.isascii() or unicodedata.is_normalized("NFC", text):
             text = text.lower()
@@ -117,13 +116,8 @@ class WordIds(dict):
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's own table of word ids; it outlives a task."""
-    kept = sys.modules.setdefault("tallywing_worker", types.ModuleType("tallywing_worker"))
-    if not hasattr(kept, "word_ids"):
-        kept.word_ids = {}
-    if path not in kept.word_ids:
-        kept.word_ids[path] = WordIds(path)
-    return kept.word_ids[path]
+    """The worker's own table of word ids."""
+    return worker_keeps(("word_ids", path), lambda: WordIds(path))
 
 
 class Out:
@@ -145,7 +139,7 @@ class Out:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema)
 
 
-def documents_in(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[list[tuple[int | None, str]]]:
+def documents_in(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[tuple[int | None, str]]]:
     """(doc_id, text) in groups of about ``most`` characters; a NULL text is empty."""
     group, held = [], 0
     for batch in batches:

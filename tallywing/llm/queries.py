@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.llm import ann, dedup_bytes, gam, licence, mixing, packing, rules, warc
+from tallywing.llm import ann, dedup_bytes, gam, licence, linededup, minhash, mixing, packing, rules, warc
 from tallywing.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", "kept_words")
+
+
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_bytes.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), "n_removed", "n_spans",
@@ -55,7 +60,11 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence.labelled(licence.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op4_repeated_bytes, op5_mixing, op6_classifier, op7_quality_rules, op8_warc, op9_licences)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_nearest, op3_lines, op4_repeated_bytes, op5_mixing, op6_classifier, op7_quality_rules, op8_warc, op9_licences, op10_near_duplicates)}
 
 ORACLES: dict[str, str] = {
     "op2_nearest": """
@@ -69,6 +78,23 @@ ORACLES: dict[str, str] = {
             FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_lines": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+        b AS (SELECT doc_id, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k,
+                     sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n WHERE w > 0),
+        e AS (SELECT a.doc_id, a.k, min(z.k) AS last FROM b AS a JOIN b AS z
+              ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto - a.upto + a.w >= 10 GROUP BY ALL),
+        m AS (SELECT e.doc_id, e.k, e.last, string_agg(z.line, chr(10) ORDER BY z.k) AS name FROM e JOIN b AS z
+              ON e.doc_id = z.doc_id AND z.k BETWEEN e.k AND e.last GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, k) AS place FROM m),
+        gone AS (SELECT DISTINCT z.doc_id, z.k FROM r JOIN b AS z ON r.doc_id = z.doc_id AND z.k BETWEEN r.k AND r.last WHERE place > 1)
+        SELECT d.doc_id, count(b.k) AS n_lines, count(gone.k) AS n_removed,
+               coalesce(sum(b.w) FILTER (gone.k IS NULL), 0)::BIGINT AS kept_words
+        FROM documents AS d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN gone ON b.doc_id = gone.doc_id AND b.k = gone.k
+        GROUP BY d.doc_id""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         k AS (SELECT *, strlen(payload) AS n, max(page_id) OVER (PARTITION BY payload) AS kept FROM p)

@@ -13,9 +13,11 @@ from tallywing.operators.scaling import gram
 
 
 def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for every level but the first, the base."""
+    """0/1 columns for every level but the first, the base; NULL where the value is none of the levels, so that such a
+    row leaves the fit and does not join the base."""
     names = [f"{column}={level}" for level in levels[1:]]
-    return df.withColumns({name: (F.col(column) == level).cast("double") for name, level in zip(names, levels[1:])}), names
+    known = F.col(column).isin(*levels)
+    return df.withColumns({name: F.when(known, (F.col(column) == level).cast("double")) for name, level in zip(names, levels[1:])}), names
 
 
 def ols(df: DataFrame, y: str, x: Sequence[str], by: str = "group") -> DataFrame:

@@ -6,7 +6,7 @@ products per species, added up where a figure is pooled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.functions.numbers import ratio
@@ -40,31 +40,33 @@ def species_trends(days: DataFrame, by: str = "species") -> DataFrame:
     return sums.withColumn("rss", F.col("syy") - F.coalesce(F.col("slope"), F.lit(0.0)) * F.col("sxy"))
 
 
-def _pooled(total) -> dict[str, Column]:
-    """Pooled sums; ``total`` adds a column up, as an aggregate or over a window."""
-    n = total(F.col("n"))
-    sxx, sxy, syy = (total(F.col(c)) for c in ("sxx", "sxy", "syy"))
-    slope = ratio(sxy, sxx)
-    df = n - total(F.lit(1)) - 1
-    return {
-        "n": n, "df": df, "sxx": sxx, "slope": slope, "sigma2": ratio(syy - slope * sxy, df),
-        "mean_x": ratio(total(F.col("mean_x") * F.col("n")), n), "mean_y": ratio(total(F.col("mean_y") * F.col("n")), n),
-    }
+def _pooled(trends: DataFrame) -> DataFrame:
+    """One row of pooled sums.
 
-
-def _with_pooled_trend(trends: DataFrame) -> DataFrame:
-    """Every species row with the pooled trend beside it; the window is over one row per species."""
-    sums = _pooled(lambda c: F.sum(c).over(Window.partitionBy()))
-    return trends.withColumn("pooled", F.struct(*[c.alias(name) for name, c in sums.items()]))
+    Maximum likelihood of a line with a random level per species, on a balanced panel: the residual variance divides by
+    the rows less one per species, and the variance of the levels (``levels``) is that of the species' means about the
+    line less what residuals add to it. Levels need the slope, so their squares are summed in three parts.
+    """
+    n, species = F.sum("n"), F.count("*")
+    slope = ratio(F.sum("sxy"), F.sum("sxx"))
+    a, b = F.col("mean_y"), F.col("mean_x")
+    rows = trends.agg(
+        n.alias("n"), species.alias("species"), (n - species).alias("df"), F.sum("sxx").alias("sxx"), slope.alias("slope"),
+        ratio(F.sum("syy") - slope * F.sum("sxy"), n - species).alias("sigma2"),
+        ratio(F.sum(b * F.col("n")), n).alias("mean_x"), ratio(F.sum(a * F.col("n")), n).alias("mean_y"),
+        F.var_pop(a).alias("aa"), F.covar_pop(a, b).alias("ab"), F.var_pop(b).alias("bb"),
+    )
+    spread = F.col("aa") - 2 * F.col("slope") * F.col("ab") + F.col("slope") * F.col("slope") * F.col("bb")
+    levels = F.greatest(F.lit(0.0), spread - F.col("sigma2") * F.col("species") / F.col("n"))
+    return rows.withColumn("levels", levels).drop("aa", "ab", "bb")
 
 
 def pooled_trend(trends: DataFrame) -> DataFrame:
     """One slope for all species, each with its own level.
 
-    On a balanced panel this within-species slope equals the slope of a random-intercept model.
+    On a balanced panel slope and standard error are those of a random-intercept model by maximum likelihood.
     """
-    sums = trends.agg(*[c.alias(name) for name, c in _pooled(F.sum).items()])
-    sums = sums.withColumn("se", F.sqrt(ratio(F.col("sigma2"), F.col("sxx"))))
+    sums = _pooled(trends).withColumn("se", F.sqrt(ratio(F.col("sigma2"), F.col("sxx"))))
     return sums.withColumns({
         "intercept": F.col("mean_y") - F.col("slope") * F.col("mean_x"),
         "lci": F.col("slope") - Z95 * F.col("se"), "uci": F.col("slope") + Z95 * F.col("se"),
@@ -73,11 +75,12 @@ def pooled_trend(trends: DataFrame) -> DataFrame:
 
 def _with_pooled_variance(trends: DataFrame) -> DataFrame:
     """Lines of species seen in two years or more, with the maximum-likelihood residual variance of
-    all lines together and its degrees of freedom. The window is over one row per species."""
-    everything = Window.partitionBy()
-    return trends.filter("sxx > 0").withColumns({
-        "sigma2": ratio(F.sum("rss").over(everything), F.sum("n").over(everything)),
-        "df": F.sum("n").over(everything) - 2 * F.count("*").over(everything) - 1,
+    all lines together and its degrees of freedom. The one row of sums comes by the driver."""
+    lines = trends.filter("sxx > 0")
+    sums = lines.agg(F.sum("rss").alias("rss"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
+    return lines.withColumns({
+        "sigma2": ratio(F.lit(sums["rss"]).cast("double"), F.lit(sums["n"]).cast("long")),
+        "df": F.lit(None if sums["n"] is None else sums["n"] - 2 * sums["k"] - 1).cast("long"),
     })
 
 
@@ -94,12 +97,12 @@ def slope_tests(trends: DataFrame, by: str = "species") -> DataFrame:
 
 
 def predict_all(days: DataFrame, trends: DataFrame, by: str = "species") -> DataFrame:
-    """Mean day per year from the pooled trend, with its interval."""
-    years = days.filter("mean_doy is not null").select(by, "year").join(_with_pooled_trend(trends), by)
-    pooled = ("n", "sxx", "mean_x", "mean_y", "slope", "sigma2")
-    rows = years.groupBy("year").agg(*[F.first(f"pooled.{c}").alias(c) for c in pooled])
+    """Mean day per year from the pooled trend, with its interval, which holds how far species' levels vary."""
+    pooled = _pooled(trends).first().asDict()
+    rows = days.filter("mean_doy is not null").join(trends.select(by), by, "left_semi").select("year").distinct()
+    rows = rows.withColumns({c: F.lit(pooled[c]) for c in ("n", "species", "sxx", "mean_x", "mean_y", "slope", "sigma2", "levels")})
     away = F.col("year") - F.col("mean_x")
-    se = F.sqrt(F.col("sigma2") * (1 / F.col("n") + ratio(away * away, F.col("sxx"))))
+    se = F.sqrt(F.col("sigma2") * (1 / F.col("n") + ratio(away * away, F.col("sxx"))) + F.col("levels") / F.col("species"))
     return rows.select("year", (F.col("mean_y") + F.col("slope") * away).alias("predicted"), se.alias("se")).select(
         "year", "predicted", (F.col("predicted") - Z95 * F.col("se")).alias("conf_low"),
         (F.col("predicted") + Z95 * F.col("se")).alias("conf_high"),

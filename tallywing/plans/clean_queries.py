@@ -200,7 +200,7 @@ def join_effort(t):
 
 _EXTRA = """
     SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS start_time, NULL AS score
-    FROM orders WHERE o_orderdate < '1998-01-01' AND o_orderstatus = 'P'
+    FROM orders WHERE o_orderdate < '1998-01-01'
     UNION ALL
     SELECT CAST(strptime(strftime(o_orderdate, '%-m/%-d/%y'), '%-m/%-d/%y') AS DATE), o_orderpriority,
            CAST(count(*) AS VARCHAR)
@@ -210,7 +210,7 @@ _EXTRA = """
 def _extra(t):
     orders = t.base("orders")
     day = F.col("o_orderdate").cast("date").alias("date")
-    older = orders.filter("o_orderdate < '1998-01-01' and o_orderstatus = 'P'").select(day, F.col("o_orderpriority").alias("start_time"))
+    older = orders.filter("o_orderdate < '1998-01-01'").select(day, F.col("o_orderpriority").alias("start_time"))
     typed = F.date_format("o_orderdate", "M/d/yy")
     newer = orders.filter("o_orderdate >= '1998-01-01'").groupBy(
         typed.alias("typed"), F.col("o_orderpriority").alias("start_time")
@@ -240,11 +240,11 @@ def join_groups(t):
 @query("union_years", """
     SELECT species, date, birds, CASE WHEN year >= 2000 THEN obs_hours END AS obs_hours,
            CASE WHEN year >= 2000 THEN observer END AS observer
-    FROM panel_eff WHERE year IN (1998, 1999, 2000, 2001)""", ("panel_eff",), dates=("date",))
+    FROM panel_eff""", ("panel_eff",), dates=("date",))
 def union_years(t):
     """Early seasons lack the derived columns; they come out NULL."""
-    early = t.panel.filter(F.col("year").isin(1998, 1999)).select("species", "date", "birds")
-    late = t.panel_eff.filter(F.col("year").isin(2000, 2001)).select("species", "date", "birds", "obs_hours", "observer")
+    early = t.panel.filter(F.col("year") < 2000).select("species", "date", "birds")
+    late = t.panel_eff.filter(F.col("year") >= 2000).select("species", "date", "birds", "obs_hours", "observer")
     return p.union_seasons([early, late])
 
 

@@ -135,7 +135,8 @@ def concat_nullsafe(t):
 def pivot_species_year(t):
     from tallywing.operators.summary import species_by_year
 
-    return species_by_year(t.panel, range(1995, 2002))
+    years = [r["year"] for r in t.panel.select("year").distinct().orderBy("year").collect()]  # a column a year
+    return species_by_year(t.panel, years)
 
 
 @query("sink_roundtrip", "SELECT species, date, year, sum(birds) AS birds FROM panel GROUP BY ALL", ("panel",), dates=("date",))

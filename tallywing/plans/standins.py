@@ -75,13 +75,12 @@ class Tables:
 
     @cached_property
     def detect(self) -> DataFrame:
-        """Counts per supplier and month, for the seen-in-every-period rule."""
-        items = self.base("lineitem").filter(
-            (F.col("l_shipdate") >= "1996-01-01") & (F.col("l_shipdate") < "2001-01-01")
-        )
-        return items.groupBy(
-            F.col("l_suppkey").alias("species"), F.date_format("l_shipdate", "yyyy-MM").alias("period")
-        ).agg(F.sum(F.when(F.col("l_quantity") >= 25, F.col("l_quantity")).otherwise(0.0)).alias("birds"))
+        """Counts per supplier and year, for the seen-in-every-period rule; a supplier whose number ends like a year has a gap there."""
+        year = F.year("l_shipdate")
+        gap = F.col("l_suppkey") % 10 == year % 10
+        return self.base("lineitem").groupBy(
+            F.col("l_suppkey").alias("species"), year.cast("string").alias("period")
+        ).agg(F.sum(F.when(~gap, F.col("l_quantity")).otherwise(0.0)).alias("birds"))
 
     @cached_property
     def wx(self) -> DataFrame:
@@ -238,9 +237,9 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                p.birds / nullif(e.obs_hours, 0) AS birds_per_hour
         FROM panel p LEFT JOIN effort e USING (date)"""),
     "detect": ((), """
-        SELECT l_suppkey AS species, strftime(l_shipdate, '%Y-%m') AS period,
-               sum(CASE WHEN l_quantity >= 25 THEN l_quantity ELSE 0 END) AS birds
-        FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '2001-01-01' GROUP BY ALL"""),
+        SELECT l_suppkey AS species, strftime(l_shipdate, '%Y') AS period,
+               sum(CASE WHEN l_suppkey % 10 <> year(l_shipdate) % 10 THEN l_quantity ELSE 0 END) AS birds
+        FROM lineitem GROUP BY ALL"""),
     "wx": ((), """
         SELECT ts AS datetime, CAST(ts AS DATE) AS date, value AS wind_speed,
                CAST(event_id * 37 % 360 AS DOUBLE) AS wind_direction,

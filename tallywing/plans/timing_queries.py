@@ -18,7 +18,8 @@ _TRENDS = f"""{_DAYS},
 _POOLED = f"""{_TRENDS},
     p0 AS (SELECT sum(n) AS n, count(*) AS g, sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy,
                   sum(mean_x * n) / sum(n) AS mean_x, sum(mean_y * n) / sum(n) AS mean_y FROM tr),
-    p1 AS (SELECT *, sxy / sxx AS slope, (syy - sxy * sxy / sxx) / (n - g - 1) AS sigma2 FROM p0)"""
+    p2 AS (SELECT *, sxy / sxx AS slope, (syy - sxy * sxy / sxx) / (n - g) AS sigma2 FROM p0),
+    p1 AS (SELECT p2.*, (SELECT greatest(0, var_pop(tr.mean_y - p2.slope * tr.mean_x) - any_value(p2.sigma2 * p2.g / p2.n)) FROM tr, p2) AS levels FROM p2)"""
 _TESTED = f"""{_TRENDS},
     u AS (SELECT * FROM tr WHERE sxx > 0),
     v AS (SELECT *, sum(rss) OVER () / sum(n) OVER () AS sigma2, CAST(sum(n) OVER () - 2 * count(*) OVER () - 1 AS BIGINT) AS df FROM u),
@@ -59,7 +60,7 @@ def timing_trend_species(t):
 
 
 @query("timing_trend_all", f"""WITH {_POOLED}
-    SELECT CAST(n AS BIGINT) AS n, CAST(n - g - 1 AS BIGINT) AS df, round(slope, 6) AS slope, round(mean_y - slope * mean_x, 3) AS intercept,
+    SELECT CAST(n AS BIGINT) AS n, CAST(n - g AS BIGINT) AS df, round(slope, 6) AS slope, round(mean_y - slope * mean_x, 3) AS intercept,
            round(sqrt(sigma2 / sxx), 6) AS se, round(slope - 1.96 * sqrt(sigma2 / sxx), 6) AS lci,
            round(slope + 1.96 * sqrt(sigma2 / sxx), 6) AS uci
     FROM p1""", ("frame",))
@@ -72,7 +73,7 @@ def timing_trend_all(t):
     q AS (SELECT *, atan(abs(t_ratio) / sqrt(df)) AS theta FROM s),
     sums AS (SELECT q.species, sum(CASE WHEN df % 2 = 1 THEN exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * pow(cos(theta), 2 * k + 1)
                                         ELSE exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(theta), 2 * k) END) AS total
-             FROM q, (SELECT unnest(range(0, 5000)) AS k)
+             FROM q, (SELECT unnest(range(0, (SELECT max(df) FROM q) // 2 + 1)) AS k)
              WHERE k <= CASE WHEN df % 2 = 1 THEN (df - 3) / 2 ELSE (df - 2) / 2 END GROUP BY q.species)
     SELECT species, round(slope, 6) AS year_trend, round(slope - 1.96 * se, 6) AS lci, round(slope + 1.96 * se, 6) AS uci,
            round(se, 6) AS se, df, round(t_ratio, 6) AS t_ratio,
@@ -85,7 +86,7 @@ def timing_slope_test(t):
 
 
 _PREDICT_ALL = f"""{_POOLED},
-    pr AS (SELECT year, mean_y + slope * (year - mean_x) AS predicted, sqrt(sigma2 * (1 / n + (year - mean_x) * (year - mean_x) / sxx)) AS se
+    pr AS (SELECT year, mean_y + slope * (year - mean_x) AS predicted, sqrt(sigma2 * (1 / n + (year - mean_x) * (year - mean_x) / sxx) + levels / g) AS se
            FROM (SELECT DISTINCT year FROM days_by WHERE mean_doy IS NOT NULL), p1)"""
 _PREDICT_SPECIES = f"""{_TESTED},
     ps AS (SELECT s.species, d.year, mean_y + slope * (d.year - mean_x) AS predicted,

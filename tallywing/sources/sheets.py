@@ -69,7 +69,7 @@ def header_cells(sheet: DataFrame, drop: Column, fix=None) -> DataFrame:
 def band_rows(sheet: DataFrame, env_end: Column, species_end: Column) -> DataFrame:
     """Tag each labelled data row with its band: ``environment``, ``species`` or ``footer``.
 
-    The window is per sheet, which is one page; blank labels are dropped first, as in a hand-made
+    A sheet without the row that ends its environment band fails, naming the file. The window is per sheet, which is one page; blank labels are dropped first, as in a hand-made
     sheet they are spacers.
     """
     rows = sheet.filter((F.col("row_idx") > 0) & (F.col("label") != ""))
@@ -83,7 +83,8 @@ def band_rows(sheet: DataFrame, env_end: Column, species_end: Column) -> DataFra
         .when(F.col("end_row").isNull() | (F.col("row_idx") < F.col("end_row")), "species")
         .otherwise("footer")
     )
-    return marked.withColumn("band", F.when(F.col("env_row").isNotNull(), band)).drop("env_row", "end_row")
+    lost = F.raise_error(F.concat(F.lit("no row that ends the environment band in "), F.col("file")))
+    return marked.withColumn("band", F.when(F.col("env_row").isNotNull(), band).otherwise(lost)).drop("env_row", "end_row")
 
 
 def unpivot_cells(rows: DataFrame, headers: DataFrame, value: str = "cell", keep: Sequence[str] = ()) -> DataFrame:
@@ -95,9 +96,13 @@ def unpivot_cells(rows: DataFrame, headers: DataFrame, value: str = "cell", keep
 def environment_table(
     long: DataFrame, names: dict[str, str], columns: Sequence[str], keys: Sequence[str] = ("file", "header")
 ) -> DataFrame:
-    """Environment rows to one column per variable, one row per sheet and day."""
+    """Environment rows to one column per variable, one row per sheet and day.
+
+    Where two labels feed one variable, the first cell of the sheet that is not blank counts.
+    """
     from tallywing.functions.text import dotted_label
     from tallywing.operators.recode import lookup
 
     named = long.withColumn("variable", lookup(dotted_label(F.col("label")), names))
-    return named.groupBy(*keys).pivot("variable", list(columns)).agg(F.first("cell", ignorenulls=True))
+    filled = F.when(F.trim("cell") != "", F.col("row_idx"))
+    return named.groupBy(*keys).pivot("variable", list(columns)).agg(F.coalesce(F.min_by("cell", filled), F.min("cell")))

@@ -33,5 +33,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_panel(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by year, so that season filters prune whole folders."""
-    df.write.partitionBy("year").parquet(path)
+    """Parquet partitioned by year, so that season filters prune whole folders.
+
+    Rows are rebalanced by year first: a year is in few files, and a large one is split.
+    """
+    df.hint("rebalance", "year").write.partitionBy("year").parquet(path)

@@ -22,8 +22,9 @@ def plain_name(name: str) -> str:
 
 
 def normalise_station(raw: DataFrame, units_column: str = UNITS_COLUMN, units_text: str = UNITS_TEXT) -> DataFrame:
-    """Drop the units row and give every column its plain name, in one projection."""
-    readings = raw.filter(F.col(units_column) != units_text)
+    """Drop the units row and give every column its plain name, in one projection. A reading whose cell in that column
+    is blank or NULL is no units row and stays."""
+    readings = raw.filter(~F.col(units_column).eqNullSafe(units_text))
     return readings.select(*[F.col(f"`{c}`").alias(plain_name(c)) for c in raw.columns])
 
 

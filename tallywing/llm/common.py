@@ -9,12 +9,27 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywing.session import settle
+from tallywing import session
 
 #: Fixed: a word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark deletes the shuffle files of a query when it ends, where this is set.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``session.settle``; the shuffle files of the step are deleted once it is written, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        return session.settle(df, label)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 import numpy as np
@@ -12,26 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywing.llm.common import settle
-from tallywing.llm.repeats import LENGTH, Buffers, anchors, merged_spans, q_gram_buckets, repeated_in, string_names
+from tallywing.llm.repeats import BLOCK, LENGTH, Buffers, anchors, core_names, merged_spans, q_gram_buckets, repeated_in, string_names
 
 #: A bucket with this many contexts in one buffer is known to need its strings named; two of them tell the other tasks.
 CROWDED = 4
 
 #: Kinds of rows: an anchor to compare, an anchor whose strings must be named, a span to remove (``other`` is its end).
 ANCHOR, NAME, SPAN = 0, 1, 2
-_SCHEMA = "bucket long, other long, doc long, tag long, start long, more int, kind int"
-_ARROW = pa.schema([(c, pa.int64()) for c in ("bucket", "other", "doc", "tag", "start")] + [("more", pa.int32()), ("kind", pa.int32())])
+_SCHEMA = "bucket long, other long, doc long, tag long, start long, more int, lead int, kind int"
+_ARROW = pa.schema([(c, pa.int64()) for c in ("bucket", "other", "doc", "tag", "start")] + [(c, pa.int32()) for c in ("more", "lead", "kind")])
+
+#: Strings of one block of an anchor (``names``) by the name of the bytes they share, or a span to remove (``last`` is its end).
+_NAMED = "core long, doc long, tag long, start long, last long, names array<long>"
+_NAMED_ARROW = pa.schema([(c, pa.int64()) for c in ("core", "doc", "tag", "start", "last")] + [("names", pa.list_(pa.int64()))])
 
 #: Stands for a NULL doc_id, which is before all others.
 NO_ID = -(1 << 63)
 
 
-def _release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _batch(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
@@ -44,7 +41,7 @@ def _spans(docs, tags, text, first, last):
     """Rows of spans of the texts numbered ``text``."""
     text, first, last = merged_spans(text, first, last)
     spread = (docs[text] * 1_000_003) ^ first
-    return _batch(spread, last, docs[text], tags[text], first, np.zeros(len(text), np.int32), np.full(len(text), SPAN, np.int32))
+    return _batch(spread, last, docs[text], tags[text], first, *np.zeros((2, len(text)), np.int32), np.full(len(text), SPAN, np.int32))
 
 
 def _located(buffer):
@@ -56,7 +53,7 @@ def _located(buffer):
 
 def compare_anchors(buffer: Buffers):
     data, ends, docs, tags, bases, starts = _located(buffer)
-    bucket, context, first, more, _ = anchors(data, ends)
+    bucket, context, first, more, lead = anchors(data, ends)
     part = np.searchsorted(ends, first, side="right")
     at = first - starts[part] + bases[part]
     copy = repeated_in((docs[part], tags[part], at), (bucket, context))
@@ -69,11 +66,11 @@ def compare_anchors(buffer: Buffers):
     order = keep[known][np.argsort(bucket[keep[known]], kind="stable")]
     b, c = bucket[order], context[order]
     new = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.zeros(0, bool)
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0)) if len(b) else np.zeros(0, int)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0)) if len(b) else np.zeros(0, int)
     second = np.zeros(len(b), bool)  # the first row of a bucket with another context than its first row's
-    other = np.flatnonzero(c != c[lead]) if len(b) else np.zeros(0, int)
+    other = np.flatnonzero(c != c[head]) if len(b) else np.zeros(0, int)
     if len(other):
-        second[other[np.unique(lead[other], return_index=True)[1]]] = True
+        second[other[np.unique(head[other], return_index=True)[1]]] = True
     tell = order[new | second]
     send = np.concatenate([keep[~known], tell])
     for rows, kind in ((send, ANCHOR), (order, NAME)):
@@ -81,12 +78,12 @@ def compare_anchors(buffer: Buffers):
         spread = bucket[rows] if kind == ANCHOR else context[rows]
         other_column = context[rows] if kind == ANCHOR else bucket[rows]
         yield _batch(_signed(spread), _signed(other_column), docs[p], tags[p], at[rows], more[rows].astype(np.int32),
-                     np.full(len(rows), kind, np.int32))
+                     lead[rows].astype(np.int32), np.full(len(rows), kind, np.int32))
 
 
 def name_strings(buffer: list[tuple]):
-    """Rows (bucket := name, other := q-gram bucket, ..) of the strings asked for; ``buffer`` has (doc, tag, bytes, asked)."""
-    stretches = [(d, t, s, more, bucket, data[s: s + more + LENGTH]) for d, t, data, asked in buffer for s, more, bucket in asked]
+    """Rows of ``_NAMED`` for the strings asked for; ``buffer`` has (doc, tag, bytes, asked), ``asked`` (start, more, lead)."""
+    stretches = [(d, t, s, more, lead, data[s: s + more + LENGTH]) for d, t, data, asked in buffer for s, more, lead in asked]
     if not stretches:
         return
     # laid end to end: the names of a stretch of text alone are those it has in the whole
@@ -94,19 +91,35 @@ def name_strings(buffer: list[tuple]):
     each = np.repeat(np.arange(len(stretches)), count)
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     base = np.concatenate(([0], np.cumsum(count + LENGTH - 1)))[:-1]
-    name = string_names(q_gram_buckets(np.frombuffer(b"".join(r[5] for r in stretches), np.uint8)), base[each] + step)
-    doc, tag, first, of = (np.asarray([r[i] for r in stretches], np.int64)[each] for i in (0, 1, 2, 4))
-    start = first + step
-    copy = repeated_in((doc, tag, start), (name, of))
+    buckets = q_gram_buckets(np.frombuffer(b"".join(r[5] for r in stretches), np.uint8))
+    name = string_names(buckets, base[each] + step)
+    doc, tag, first, lead = (np.asarray([r[i] for r in stretches], np.int64) for i in (0, 1, 2, 4))
+    before = lead[each] - step  # bytes of the string before its anchor
+    block = before // BLOCK
+    new = np.concatenate(([True], (each[1:] != each[:-1]) | (block[1:] != block[:-1])))
+    at = np.flatnonzero(new)
+    core = core_names(buckets, base[each[at]] + lead[each[at]] - BLOCK * block[at])
+    number = np.cumsum(new) - 1
+    doc, tag, start = doc[each], tag[each], first[each] + step
+    copy = repeated_in((doc, tag, start), (name, core[number]))
     pairs, text = np.unique(np.stack([doc[copy], tag[copy]]), axis=1, return_inverse=True)
-    yield _spans(pairs[0], pairs[1], text.ravel(), start[copy], start[copy] + LENGTH)
-    keep = ~copy
-    yield _batch(_signed(name[keep]), of[keep], doc[keep], tag[keep], start[keep], np.zeros(keep.sum(), np.int32),
-                 np.full(keep.sum(), ANCHOR, np.int32))
+    text, a, b = merged_spans(text.ravel(), start[copy], start[copy] + LENGTH)
+    nothing = pa.nulls(len(text), pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array((pairs[0][text] * 1_000_003) ^ a), pa.array(pairs[0][text]), pa.array(pairs[1][text]), pa.array(a),
+                                      pa.array(b), nothing], schema=_NAMED_ARROW)
+    kept = np.zeros(len(at), bool)
+    kept[number[~copy]] = True
+    mine = kept[number]
+    sizes = np.diff(np.append(at, len(name)))[kept]
+    names = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(_signed(name[mine])))
+    rows = at[kept]
+    yield pa.RecordBatch.from_arrays([pa.array(_signed(core[kept])), pa.array(doc[rows]), pa.array(tag[rows]), pa.array(start[rows]),
+                                      pa.nulls(len(rows), pa.int64()), names], schema=_NAMED_ARROW)
 
 
-def _first_of() -> Column:
-    return F.rank().over(Window.partitionBy("bucket", "other").orderBy("doc", "tag", "start"))
+def _place(*same: str) -> Column:
+    """Place of a string among those of equal names, by text and start."""
+    return F.rank().over(Window.partitionBy(*same).orderBy("doc", "tag", "start"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Column]:
@@ -115,7 +128,6 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
     ``doc`` is doc_id, the smallest long for NULL. ``tag`` tells apart texts of one repeated id (crc32 of the text) and is 0
     where no id repeats; rows with equal id and text are one document.
     """
-    spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     tagged = not ids.groupBy("doc").count().where("count > 1").isEmpty()
 
@@ -133,22 +145,19 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
         if held.parts:
             yield from compare_anchors(held)
 
-    found = ids.mapInArrow(find, _SCHEMA).withColumn("place", _first_of())
+    found = ids.mapInArrow(find, _SCHEMA).repartition("bucket").withColumn("place", _place("bucket", "other"))
     bucket = Window.partitionBy("bucket")
     found = found.withColumns({
         "low": F.min(F.when(F.col("kind") == ANCHOR, F.col("other"))).over(bucket), "high": F.max(F.when(F.col("kind") == ANCHOR, F.col("other"))).over(bucket)})
     anchor = F.col("kind") == ANCHOR
     found = found.select(
-        "doc", "tag", "start", "more",
-        F.when(anchor, F.col("bucket")).otherwise(F.col("other")).alias("bucket"),
+        "doc", "tag", "start", "more", "lead",
         F.when(anchor, F.col("start") + F.col("more") + LENGTH).otherwise(F.col("other")).alias("last"),
         F.when(F.col("kind") == NAME, F.lit(True)).when(anchor & (F.col("place") == 1) & (F.col("low") != F.col("high")), F.lit(True))
         .when((F.col("kind") == SPAN) | (anchor & (F.col("place") > 1)), F.lit(False)).alias("name")).where("name is not null")
     compared = settle(found, "repeats-anchors")
-    del found
-    _release(spark)
 
-    asked = compared.where("name").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "more", "bucket")).alias("asked"))
+    asked = compared.where("name").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "more", "lead")).alias("asked"))
     tag = F.crc32("data") if tagged else F.lit(0).cast("long")
     texts = ids.withColumn("tag", tag).join(asked, ["doc", "tag"]).select("doc", "tag", "data", "asked")
 
@@ -156,7 +165,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
         held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                asked_of = [(a["start"], a["more"], a["bucket"]) for a in batch.column(3)[i].as_py()]
+                asked_of = [(a["start"], a["more"], a["lead"]) for a in batch.column(3)[i].as_py()]
                 held.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), asked_of))
                 size += sum(LENGTH + a[1] for a in asked_of)
                 if size >= 1 << 19:
@@ -165,11 +174,12 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
         if held:
             yield from name_strings(held)
 
-    named = texts.mapInArrow(name, _SCHEMA).withColumn("place", _first_of())
-    named = named.where((F.col("kind") == SPAN) | (F.col("place") > 1)).select(
-        "doc", "tag", F.col("start").alias("first"), F.when(F.col("kind") == SPAN, F.col("other")).otherwise(F.col("start") + LENGTH).alias("last"))
-    named = settle(named, "repeats-strings")
-    _release(spark)
+    # blocks whose shared bytes stand once in the corpus hold no repeat; the strings of the others are told apart by name
+    named = texts.mapInArrow(name, _NAMED).repartition("core").withColumn("n", F.count("names").over(Window.partitionBy("core")))
+    strings = named.where("names is null or n > 1").select("core", "doc", "tag", "start", "last", F.posexplode_outer("names").alias("i", "string"))
+    strings = strings.withColumn("start", F.col("start") + F.coalesce("i", F.lit(0))).withColumn("place", _place("core", "string"))
+    named = settle(strings.where("string is null or place > 1").select(
+        "doc", "tag", F.col("start").alias("first"), F.coalesce("last", F.col("start") + LENGTH).alias("last")), "repeats-strings")
     spans = compared.where("not name").select("doc", "tag", F.col("start").alias("first"), "last").unionByName(named)
     return spans, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) if tagged else F.lit(0).cast("long")
 

@@ -13,8 +13,9 @@ and equal strings have equal anchors. An anchor stands for a stretch of start po
 strings cover, named by the refined buckets at both ends.
 
 1. Equal contexts: all but the first in (doc_id, start) repeat it, with all their strings.
-2. Anchors of one q-gram bucket with different contexts (the edges of repeated passages): their strings are named one
-   by one, and all but the first of each name repeat it.
+2. Anchors of one q-gram bucket with different contexts (the edges of repeated passages): blocks of ``BLOCK`` of their
+   strings are looked for by the bytes the block shares; where those stand twice, the strings are told apart by name,
+   and all but the first of each name repeat it.
 
 Copies are first settled inside a task's buffer, so that a group of any size sends at most one row a buffer on.
 """
@@ -24,6 +25,8 @@ from __future__ import annotations
 import numpy as np
 
 LENGTH, Q = 100, 32
+#: Strings whose anchors lie equally far in, to this many bytes, are looked for together first.
+BLOCK = 8
 #: Bytes of text worked on at once, and bits for a position in it.
 BUFFER, POSITION_BITS = 1 << 20, 22
 
@@ -58,8 +61,16 @@ def string_names(buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return refine(double(starts), double(starts + (LENGTH - 2 * Q)), 7)
 
 
+def core_names(buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Names of the ``LENGTH + 1 - BLOCK`` bytes at ``starts``, which the strings of a block of start positions share."""
+    def double(at):
+        return refine(buckets[at], buckets[at + Q], 6)
+
+    return refine(double(starts), double(starts + (LENGTH + 1 - BLOCK - 2 * Q)), 10)
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(bucket, context, first start, number of starts - 1) of each anchor in texts laid end to end, and the q-gram buckets.
+    """(bucket, context, first start, number of starts - 1, anchor - first start) of each anchor in texts laid end to end.
 
     ``ends`` are the ends of the texts in ``data``; no string goes over one.
     """
@@ -87,7 +98,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     at = (mask - (keys[first] & mask)).astype(np.int64)
     span = (((last - first) << 8) | (at - first)).astype(np.uint64)
     context = refine(refine(string_names(buckets, first), string_names(buckets, last), 8), span, 9)
-    return buckets[at], context, first, last - first, buckets
+    return buckets[at], context, first, last - first, at - first
 
 
 class Buffers:

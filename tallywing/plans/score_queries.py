@@ -43,31 +43,33 @@ def _scores(rows, weight, extra: dict | None = None, mask=None):
     return summed.select("species", F.explode("s").alias("s")).select("species", "s.term", "s.score")
 
 
-_Y, _MU, _THETA, _PI = F.col("birds"), F.col("mu"), F.col("theta"), F.col("pi")
-_NB_WEIGHT = (_Y - _MU) / (1 + _MU / _THETA)
+def _count_weight():
+    """Derivative of the negative binomial log-likelihood in the linear predictor."""
+    return (F.col("birds") - F.col("mu")) / (1 + F.col("mu") / F.col("theta"))
 
 
 def _theta_score():
-    return digamma(_Y + _THETA) - digamma(_THETA) + F.log(_THETA) + 1 - F.log(_THETA + _MU) - (_Y + _THETA) / (_THETA + _MU)
+    y, mu, theta = F.col("birds"), F.col("mu"), F.col("theta")
+    return digamma(y + theta) - digamma(theta) + F.log(theta) + 1 - F.log(theta + mu) - (y + theta) / (theta + mu)
 
 
 @query("score_poisson", _zero(), ("frame",))
 def score_poisson(t):
-    return _scores(fx.with_fit(t.scaled, cm.fit_full(t.stored_frame, ["poisson"])), _Y - _MU)
+    return _scores(fx.with_fit(t.scaled, cm.fit_full(t.stored_frame, ["poisson"])), F.col("birds") - F.col("mu"))
 
 
 @query("score_nb2", _zero(" UNION ALL SELECT 'theta'"), ("frame",))
 def score_nb2(t):
-    return _scores(fx.with_fit(t.scaled, cm.fit_full(t.stored_frame, ["nbinom"])), _NB_WEIGHT, {"theta": _theta_score()})
+    return _scores(fx.with_fit(t.scaled, cm.fit_full(t.stored_frame, ["nbinom"])), _count_weight(), {"theta": _theta_score()})
 
 
 @query("score_zinb", _zero(" UNION ALL SELECT 'zero'"), ("frame",))
 def score_zinb(t):
     """A zero is of the zero part with probability 1 - (1 - pi) f0 / p_zero, and counts in the count part with the rest."""
-    counted = F.when(_Y > 0, 1.0).otherwise(1 - _PI / F.col("p_zero"))
-    zero_part = F.when(_Y > 0, 0.0).otherwise(_PI / F.col("p_zero"))
+    birds, pi = F.col("birds"), F.col("pi")
+    zero_part = F.when(birds > 0, 0.0).otherwise(pi / F.col("p_zero"))
     rows = fx.with_fit(t.scaled, cm.fit_full(t.stored_frame, ["nbinom+zi"]))
-    return _scores(rows, counted * _NB_WEIGHT, {"zero": zero_part - _PI})
+    return _scores(rows, (1 - zero_part) * _count_weight(), {"zero": zero_part - pi})
 
 
 @query("score_top_model", _zero(), ("frame",))
@@ -75,7 +77,7 @@ def score_top_model(t):
     """The selected model of each species, fitted again: score equations of its terms, and 0 for those it lacks."""
     ranked = settle(selection.select_models(t.frame, "nbinom"), "ranked")
     fits = selection.refit_top(t.stored_frame, ranked, "nbinom")
-    return _scores(fx.with_fit(t.scaled, fits), _NB_WEIGHT, mask=F.col("mask"))
+    return _scores(fx.with_fit(t.scaled, fits), _count_weight(), mask=F.col("mask"))
 
 
 @query("selection_facts", f"""

@@ -101,3 +101,12 @@ def test_score_of_odd_rows(odd, none, labels):
 def test_one_bin_or_no_rows_give_a_constant():
     assert gam.fit(np.zeros((0, 3)), np.zeros(0)).tables == []
     assert np.allclose(gam.fit(np.ones((20, 2)), np.arange(20) % 2).odds(np.ones((1, 2))), 0, atol=0.1)
+
+
+def test_the_sample_is_bounded(docs, labels, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(gam, "fit", lambda x, y: sizes.append(len(y)) or gam.Model(0.0))
+    statistics = with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats")
+    for sample in (10, 10_000):
+        gam.learn(statistics, labels_of(labels, "quality"), sample)
+    assert sizes == [10, statistics.join(labels_of(labels, "quality"), "doc_id").where(~gam.held_out(F.col("doc_id"))).count()]

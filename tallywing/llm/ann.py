@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywing.llm.common import settle
+from tallywing.llm.common import frugal, settle
 
 NEAREST, BLOCK_CELLS, MOST_ROWS = 20, 1 << 20, 2048
 CELL_BLOCKS, QUERY_BLOCKS = 16, 4
@@ -120,7 +120,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_column: st
     candidates, and an empty table, give no rows.
     """
     rows = vectors.select(F.col(id_column).cast("long"), F.coalesce(is_query, F.lit(False)), F.col(vector).cast("array<double>"))
-    blocks = settle(rows.mapInArrow(pack_blocks, BLOCKS), "ann-blocks")
+    blocks = settle(rows.mapInArrow(frugal(pack_blocks), BLOCKS), "ann-blocks")
     n = blocks.agg(F.count_if("query").alias("q"), F.count_if(~F.col("query")).alias("c")).first()
     across, down = -(-n["c"] // CELL_BLOCKS) or 1, -(-n["q"] // QUERY_BLOCKS) or 1
 

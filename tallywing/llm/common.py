@@ -69,4 +69,26 @@ def worker_keeps(key: tuple, make: Callable):
     return kept[key]
 
 
-__all__ = ["WORD", "table", "word_count", "free_names", "labels_of", "settle", "worker_keeps"]
+def frugal(read: Callable) -> Callable:
+    """``read`` for mapInArrow, giving the memory it no longer needs back to the machine when its partition is done.
+
+    Workers stay for later stages, and what their allocators hold on to counts against the executor there.
+    """
+
+    def run(batches):
+        yield from read(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
+__all__ = ["WORD", "table", "word_count", "free_names", "labels_of", "settle", "worker_keeps", "frugal"]

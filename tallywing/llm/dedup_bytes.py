@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywing.llm.common import settle
+from tallywing.llm.common import frugal, settle
 from tallywing.llm.repeats import BLOCK, LENGTH, Buffers, anchors, core_names, merged_spans, q_gram_buckets, repeated_in, string_names
 
 #: A bucket with this many contexts in one buffer is known to need its strings named; two of them tell the other tasks.
@@ -145,7 +145,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
         if held.parts:
             yield from compare_anchors(held)
 
-    found = ids.mapInArrow(find, _SCHEMA).repartition("bucket").withColumn("place", _place("bucket", "other"))
+    found = ids.mapInArrow(frugal(find), _SCHEMA).repartition("bucket").withColumn("place", _place("bucket", "other"))
     bucket = Window.partitionBy("bucket")
     found = found.withColumns({
         "low": F.min(F.when(F.col("kind") == ANCHOR, F.col("other"))).over(bucket), "high": F.max(F.when(F.col("kind") == ANCHOR, F.col("other"))).over(bucket)})
@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
             yield from name_strings(held)
 
     # blocks whose shared bytes stand once in the corpus hold no repeat; the strings of the others are told apart by name
-    named = texts.mapInArrow(name, _NAMED).repartition("core").withColumn("n", F.count("names").over(Window.partitionBy("core")))
+    named = texts.mapInArrow(frugal(name), _NAMED).repartition("core").withColumn("n", F.count("names").over(Window.partitionBy("core")))
     strings = named.where("names is null or n > 1").select("core", "doc", "tag", "start", "last", F.posexplode_outer("names").alias("i", "string"))
     strings = strings.withColumn("start", F.col("start") + F.coalesce("i", F.lit(0))).withColumn("place", _place("core", "string"))
     named = settle(strings.where("string is null or place > 1").select(
@@ -219,4 +219,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()),
                                                   pa.array(runs, pa.int64())], names=["doc_id", "data", "kept", "n_removed", "n_spans"])
 
-    return joined.mapInArrow(cut, "doc_id long, data binary, kept binary, n_removed long, n_spans long")
+    return joined.mapInArrow(frugal(cut), "doc_id long, data binary, kept binary, n_removed long, n_spans long")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywing.llm.common import frugal
 from tallywing.llm.licence_texts import PHRASES, TEMPLATES
 
 LEAST_MATCH, MOST_GAP, LEAST_COVER, FLUSH_ROWS = 3, 6, 0.8, 2000
@@ -184,7 +185,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                     [r[3] for r in out]), types[1:])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(rows), SCHEMA)
 
 
 def labelled(scanned: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywing.llm.common import WORD, free_names, settle
+from tallywing.llm.common import WORD, free_names, frugal, settle
 
 LEAST_WORDS, BUFFER_CHARS, NO_ID = 10, 1 << 20, -(1 << 63)
 
@@ -101,7 +101,7 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFram
         if held:
             yield settled(held)
 
-    found = settle(ids.mapInArrow(rows, _FOUND), "lines-windows")
+    found = settle(ids.mapInArrow(frugal(rows), _FOUND), "lines-windows")
     positions = found.where("fingerprint is not null").select("fingerprint", "doc", "tag", "windows")
     repeated = settle(positions.groupBy(F.col("fingerprint").alias("again")).count().where("count > 1").select("again"), "lines-fingerprints")
     met = positions.join(repeated, F.col("fingerprint") == F.col("again")).select("fingerprint", "doc", "tag", F.explode("windows").alias("w"))

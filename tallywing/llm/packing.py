@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywing.llm.common import worker_keeps
+from tallywing.llm.common import frugal, worker_keeps
 from tallywing.session import scratch_path
 
 LENGTH, OPEN_WINDOWS, END_ID = 2048, 64, 1
 #: Partitions whose last stretches are merged together, and rows of bytes a task holds before it hands them on.
 MERGED, FLUSH_BYTES = 256, 8 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: in
 
     spark = docs.sparkSession
     path = scratch_path(spark, "pack")
-    first = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack_partition, SCHEMA)
+    first = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(pack_partition), SCHEMA)
     first.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(path)
     packed = spark.read.schema(f"{SCHEMA}, part int").parquet(path)
     open_rows = packed.where("sequence_id is null").withColumn("together", F.floor(F.col("part") / MERGED))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywing.llm.common import settle
+from tallywing.llm.common import frugal, settle
 from tallywing.session import scratch_path
 
 #: Payloads of fewer bytes are stored each time; entries of a key range and a run at most, and keys sampled a range.
@@ -226,7 +226,7 @@ def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS, run_rows: int
         return pa.table([*columns, pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64())],
                         names=[*_NAMES, "key_range", "position"])
 
-    segments = entries.select(*_NAMES).mapInArrow(runs, "key_range int, run long, rows binary")
+    segments = entries.select(*_NAMES).mapInArrow(frugal(runs), "key_range int, run long, rows binary")
     return segments.groupBy("key_range").applyInArrow(merged, HISTORY)
 
 

@@ -9,21 +9,26 @@ computed from the whole texts, is at least ``SIMILAR``.
 
 Groups are never expanded into pairs. Equal texts are one node. In a band's bucket every node is compared with one
 leader, another one in each band. What that leaves open is a node that is not linked to its leader but may be linked to
-another node of the bucket: those pairs are compared too, unless both already are in one class or, as 1 - similarity is
-a metric, their similarities to the leader differ by more than ``1 - SIMILAR``. So every candidate pair is decided.
+another node of the bucket: those are compared too, unless both already are in one class or, as 1 - similarity is a
+metric, their similarities to the leader differ by more than ``1 - SIMILAR``. A node is compared with a large class as a
+whole, in tiles of texts by matrix products. So every candidate pair is decided, or its classes are already one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallywing.llm.common import settle, worker_keeps
+from tallywing.llm.common import frugal, settle, worker_keeps
 
 WORDS, SIMILAR, BANDS, ROWS, CELLS, SLOTS = 5, 0.8, 16, 4, 1 << 18, 1 << 15
+#: Texts on a side of a tile, and in a bucket whose open pairs are written as rows.
+TILE, CROWD = 256, 32
 BUFFER_CHARS, NO_ID = 1 << 20, -(1 << 63)
 
 _rng = np.random.default_rng(5)
@@ -151,7 +156,7 @@ def cell_weights(texts: DataFrame, words: int, cells: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
-    counts = texts.select("data").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = texts.select("data").mapInArrow(frugal(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros(cells)
     found[counts["cell"].to_numpy()] = counts["n"].to_numpy()
     return np.log1p(max(1, texts.count()) / np.maximum(found, 1)).astype(np.float32)
@@ -179,7 +184,78 @@ def _links(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, words: int)
     one = texts.select(F.col("node").alias("a"), F.col("data").alias("data_a"))
     two = texts.select(F.col("node").alias("b"), F.col("data").alias("data_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "data_a", "data_b")
-    return settle(both.mapInArrow(compare, "a binary, b binary, similar double"), "near-links")
+    return settle(both.mapInArrow(frugal(compare), "a binary, b binary, similar double"), "near-links")
+
+
+def tile_links(left: list[tuple], right: list[tuple], similar: float, every: bool) -> list[tuple[bytes, bytes]]:
+    """For each (node, vector) of ``left`` its links to ``right``, or the first found of them unless ``every``; vectors are
+    (hashes, counts, weight of each).
+
+    A hash that a text holds n times counts as n elements of its weight, so that what two texts share is one matrix product.
+    """
+    def elements(vectors):
+        own, weight, of = [], [], []
+        for i, (hashes, counts, each) in enumerate(vectors):
+            turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            own.append(np.repeat(hashes, counts) ^ _mixed(turn.astype(np.uint64), 5))
+            weight.append(np.repeat(each, counts))
+            of.append(np.full(len(own[-1]), i))
+        return np.concatenate(own), np.concatenate(weight), np.concatenate(of)
+
+    x, wx, i = elements([v for _, v in left])
+    y, wy, j = elements([v for _, v in right])
+    common = np.intersect1d(x, y)
+    shared = np.zeros((len(left), len(right)))
+    column_x, column_y = np.searchsorted(common, x), np.searchsorted(common, y)
+    held_x = (column_x < len(common)) & (common[np.minimum(column_x, len(common) - 1)] == x) if len(common) else np.zeros(len(x), bool)
+    held_y = (column_y < len(common)) & (common[np.minimum(column_y, len(common) - 1)] == y) if len(common) else np.zeros(len(y), bool)
+    for a in range(0, len(common), 4096):
+        mine, theirs = held_x & (column_x >= a) & (column_x < a + 4096), held_y & (column_y >= a) & (column_y < a + 4096)
+        one, two = np.zeros((len(left), 4096)), np.zeros((len(right), 4096))
+        one[i[mine], column_x[mine] - a] = wx[mine]
+        two[j[theirs], column_y[theirs] - a] = 1
+        shared += one @ two.T
+    total_x, total_y = np.bincount(i, wx, len(left)), np.bincount(j, wy, len(right))
+    score = shared / (total_x[:, None] + total_y[None, :] - shared)
+    out = []
+    for k, (node, vector) in enumerate(left):
+        for m in np.argsort(-score[k], kind="stable"):
+            if score[k, m] < similar - 1e-6:
+                break
+            other, theirs = right[m]
+            if other != node and similarity((vector[0], vector[1] * vector[2]), (theirs[0], theirs[1] * theirs[2])) >= similar:
+                out.append((node, other))
+                if not every:
+                    break
+    return out
+
+
+def _tile_links(asked: DataFrame, held: DataFrame, texts: DataFrame, weights: np.ndarray, words: int, similar: float, every: bool) -> DataFrame:
+    """(a, b): links of the nodes of ``asked`` (unit, node) to those of ``held`` with the same unit, in tiles of about ``TILE`` by ``TILE`` texts."""
+    def blocks(frame):
+        n = settle(frame.groupBy("unit").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")), "near-units")
+        return n, frame.join(n, "unit").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+
+    held = held.join(asked.select(F.col("unit").alias("unit")).distinct(), "unit", "left_semi")
+    (asked_n, asked), (held_n, held) = blocks(asked), blocks(held)
+    other = F.explode(F.sequence(F.lit(0), F.col("n2") - 1))
+    left = asked.join(held_n.withColumnRenamed("n", "n2"), "unit").select("unit", "node", F.col("mine").alias("x"), other.alias("y"))
+    right = held.join(asked_n.withColumnRenamed("n", "n2"), "unit").select("unit", "node", F.col("mine").alias("y"), other.alias("x"))
+    left, right = (settle(t, "near-tiles").join(texts.select(F.col("node").alias("n"), F.col("data").alias("d")), F.col("node") == F.col("n"))
+                   .select(*[F.col(c).alias(c) for c in ("unit", "x", "y", "node")], F.col("d").alias("data")) for t in (left, right))
+
+    def tile(mine, theirs):
+        def vectors(table):
+            data = table.column("data").to_pylist()
+            return [(node, (h, n, weights[cell_of(h, len(weights))].astype(np.float64)))
+                    for node, (h, n) in zip(table.column("node").to_pylist(), shingles(data, words))]
+
+        found = tile_links(vectors(mine), vectors(theirs), similar, every) if mine.num_rows and theirs.num_rows else []
+        columns = list(zip(*found)) or [(), ()]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+
+    at = ("unit", "x", "y")
+    return settle(left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(tile, "a binary, b binary"), "near-tile-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,13 +278,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
-    """(doc_id, node, class_id, class_size) of every row of ``docs``.
-
-    ``class_id`` is the smallest doc_id of the texts that links connect, NULL if none has an id; ``class_size`` counts its
-    rows. ``node`` is the md5 of the text. Equal texts are one class. A NULL text and a text without words are classes of
-    their own (their own id, size 1). Repeated rows count each. An empty table gives no rows.
-    """
+def placed_nodes(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
+    """(doc_id, node, class, bare) of every row: the text's md5, the smallest md5 of its class, and whether it has no words."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.unhex(F.md5(data)).alias("node"), data.alias("data"))
     weights = cell_weights(texts, words, cells)
@@ -221,7 +292,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, bands
                 pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()),
                 pa.array(names, pa.list_(pa.int64()))], names=["doc", "node", "bands"])
 
-    signed = settle(texts.mapInArrow(sign, "doc long, node binary, bands array<long>"), "near-signed")
+    signed = settle(texts.mapInArrow(frugal(sign), "doc long, node binary, bands array<long>"), "near-signed")
     nodes = settle(signed.where("bands is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.min("bands").alias("bands")), "near-nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "name"))
     turn = F.struct(F.xxhash64("node", "band").alias("turn"), "node")
@@ -232,28 +303,63 @@ def classes(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, bands
     pairs = settle(members.select(*ordered).distinct(), "near-pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc"), "node")
-    known = settle(texts.join(wanted, ["doc", "node"]).select("node", "data"), "near-texts")
+    known = texts.join(wanted, ["doc", "node"]).groupBy("doc", "node").agg(F.first("data").alias("data"))  # repeated rows once
+    known = settle(known.select("node", "data"), "near-texts")
     compared = _links(pairs, known, weights, words)
     links = compared.where(F.col("similar") >= similar)
     label = components(links)
 
-    # what the leaders leave open: pairs of a bucket in different classes whose similarities to the leader allow a link
+    # What the leaders leave open: a node not linked to its leader, and another class of the bucket with a member whose
+    # similarity to the leader allows a link. Small classes are compared pair by pair, large ones in tiles.
     scored = members.withColumn("a", ordered[0]).withColumn("b", ordered[1]).join(compared, ["a", "b"]).select("band", "name", "node", "similar")
-    scored = scored.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    left = scored.where(F.col("similar") < similar)
-    right = scored.select("band", "name", F.col("node").alias("node2"), F.col("similar").alias("similar2"), F.col("class").alias("class2"))
-    near = (F.col("class") != F.col("class2")) & (F.abs(F.col("similar") - F.col("similar2")) <= 1 - similar + 1e-9)
+    sizes = label.groupBy("class").agg(F.count("*").alias("many"))
+    sized = settle(label.join(sizes, "class").select("node", "class", "many"), "near-sized")
+    scored = settle(scored.join(sized, "node", "left").select("band", "name", "node", "similar", F.coalesce("class", "node").alias("class"),
+                                                              F.coalesce("many", F.lit(1)).alias("many")), "near-scored")
+    slack = 1 - similar + 1e-9
+    # of a large class in a bucket, one row: its least and largest similarity to the leader
+    large = F.col("many") > TILE
+    wide = scored.where(large).groupBy("band", "name", F.col("class").alias("class2")).agg(
+        F.min("similar").alias("low"), F.max("similar").alias("high"))
+    open_ = ((F.col("class") != F.col("class2")) & (F.least("similar", "low") < similar)
+             & (F.col("similar") >= F.col("low") - slack) & (F.col("similar") <= F.col("high") + slack))
+    tiled = settle(scored.join(wide, ["band", "name"]).where(open_).select("node", F.col("class2").alias("unit")).distinct(), "near-tiled")
+    # nodes of small classes: pair by pair in a small bucket, in tiles in a large one
+    narrow = scored.where(~large)
+    crowd = narrow.groupBy("band", "name").agg(F.count("*").alias("n"), F.min("similar").alias("least"), F.countDistinct("class").alias("classes"))
+    narrow = settle(narrow.join(crowd.where("classes > 1").where(F.col("least") < similar).drop("least", "classes"), ["band", "name"]), "near-narrow")
+    other = narrow.where(F.col("n") <= CROWD).select(
+        "band", "name", F.col("node").alias("node2"), F.col("similar").alias("similar2"), F.col("class").alias("class2"))
+    near = (F.col("class") != F.col("class2")) & (F.abs(F.col("similar") - F.col("similar2")) <= slack)
     once = (F.col("similar2") >= similar) | (F.col("node") < F.col("node2"))
-    more = left.join(right, ["band", "name"]).where(near & once).select(
+    more = narrow.where((F.col("n") <= CROWD) & (F.col("similar") < similar)).join(other, ["band", "name"]).where(near & once).select(
         F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     rest = settle(more.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    crowded = settle(narrow.where(F.col("n") > CROWD).select(F.xxhash64("band", "name").alias("unit"), "node").distinct(), "near-crowded")
+    found = [links]
     if not rest.isEmpty():
-        links = links.unionByName(_links(rest, known, weights, words).where(F.col("similar") >= similar))
-        label = components(links)
-
-    placed = settle(signed.join(label.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
+        found.append(_links(rest, known, weights, words).where(F.col("similar") >= similar).select("a", "b"))
+    if not tiled.isEmpty():
+        members_of = sized.where(F.col("many") > TILE).select(F.col("class").alias("unit"), "node")
+        found.append(_tile_links(tiled, members_of, known, weights, words, similar, every=False))
+    if not crowded.isEmpty():
+        found.append(_tile_links(crowded, crowded, known, weights, words, similar, every=True))
+    if len(found) > 1:
+        label = components(reduce(DataFrame.unionByName, [f.select("a", "b") for f in found]))
+
+    return settle(signed.join(label.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "node", F.coalesce("class", "node").alias("class"),
         F.col("bands").isNull().alias("bare")), "near-placed")
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
+    """(doc_id, node, class_id, class_size) of every row of ``docs``.
+
+    ``class_id`` is the smallest doc_id of the texts that links connect, NULL if none has an id; ``class_size`` counts its
+    rows. ``node`` is the md5 of the text. Equal texts are one class. A NULL text and a text without words are classes of
+    their own (their own id, size 1). Repeated rows count each. An empty table gives no rows.
+    """
+    placed = placed_nodes(docs, similar, words, bands, rows, cells)
     size = placed.where("not bare").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     whole = placed.where("not bare").join(settle(size, "near-classes"), "class").select("doc_id", "node", "class_id", "class_size")
     return whole.unionByName(placed.where("bare").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
@@ -264,10 +370,12 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
     Rows whose text has no words stay. Where no text of a class has an id, the text with the smallest md5 stays.
     """
-    found = classes(docs.select("doc_id", "text"), **parameters)
-    kept = found.groupBy(F.coalesce(F.col("class_id").cast("string"), F.hex("node")).alias("k")).agg(
-        F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("d"), F.col("node").alias("m"))).alias("f")).select("f.d", "f.m").distinct()
+    placed = placed_nodes(docs.select("doc_id", "text"), **parameters).withColumn("d", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "d", F.col("node").alias("m"))).alias("f")
+    kept = placed.where("not bare").groupBy("class").agg(first).select("f.d", "f.m", F.lit(True).alias("once"))
+    bare = placed.where("bare").select("d", F.col("node").alias("m"), F.lit(False).alias("once")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"),
                        F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("m"))
+    joined = rows.join(settle(kept.unionByName(bare), "near-kept"), ["d", "m"])
     one = F.row_number().over(Window.partitionBy("d", "m").orderBy("d"))
-    return rows.join(settle(kept, "near-kept"), ["d", "m"]).withColumn("one", one).where("one = 1").select("row.*")
+    return joined.withColumn("one", one).where("one = 1 or not once").select("row.*")

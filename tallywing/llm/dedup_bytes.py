@@ -139,8 +139,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
         for batch in batches:
             for i in range(batch.num_rows):
                 data = batch.column(1)[i].as_py()
-                held.add((batch.column(0)[i].as_py(), tag_of(data)), data)
-                if held.full():
+                for _ in held.add((batch.column(0)[i].as_py(), tag_of(data)), data):
                     yield from compare_anchors(held)
         if held.parts:
             yield from compare_anchors(held)

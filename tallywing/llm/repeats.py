@@ -22,6 +22,8 @@ Copies are first settled inside a task's buffer, so that a group of any size sen
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 LENGTH, Q = 100, 32
@@ -74,6 +76,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
     ``ends`` are the ends of the texts in ``data``; no string goes over one.
     """
+    assert len(data) < 1 << POSITION_BITS, "a buffer longer than its positions"
     buckets = q_gram_buckets(data)
     mask = np.uint64((1 << POSITION_BITS) - 1)
     keys = buckets & ~mask
@@ -107,15 +110,15 @@ class Buffers:
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, key: tuple, data: bytes) -> None:
+    def add(self, key: tuple, data: bytes) -> Iterator[None]:
+        """Adds the text, and yields each time the buffer is full: it must be taken then, also between parts of one text."""
         for base in range(0, max(1, len(data) - LENGTH + 1), BUFFER):
             part = data[base: base + BUFFER + LENGTH - 1]
             if len(part) >= LENGTH:
                 self.parts.append((key, base, part))
                 self.size += len(part)
-
-    def full(self) -> bool:
-        return self.size >= BUFFER
+            if self.size >= BUFFER:
+                yield
 
     def take(self) -> tuple[np.ndarray, np.ndarray, list[tuple], np.ndarray]:
         """Bytes laid end to end, the ends of the parts, their keys and their first bytes' places in the text."""

@@ -59,6 +59,23 @@ def test_repeated_bytes_at_every_edge(spark, monkeypatch, buffer):
     assert got_removed(frame) == removed(rows)
 
 
+def test_repeated_bytes_of_a_text_larger_than_a_buffer(spark):
+    """A text of 10 MB that holds shared passages near its start, at the borders of its parts and near its end."""
+    rng = np.random.default_rng(6)
+
+    def noise(n):
+        return rng.choice(np.frombuffer(b"abcdefghijklmnop", np.uint8), n).tobytes().decode()
+
+    passages = [noise(300) for _ in range(4)]
+    long = noise(10_000_000)
+    for passage, at in zip(passages, (1000, (4 << 20) - 150, 9 * (1 << 20) - 20, 9_999_000)):
+        long = long[:at] + passage + long[at + 300:]
+    rows = [(1, long)] + [(2 + i, noise(49) + "X" + p + "X" + noise(49)) for i, p in enumerate(passages)]
+    got = got_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert {doc: row[:3] for doc, row in got.items()} == {1: (10_000_000, 0, 0), **{2 + i: (400, 300, 1) for i in range(4)}}
+    assert all(got[2 + i][3].decode() == text[:50] + text[350:] for i, (_, text) in enumerate(rows[1:]))
+
+
 def test_repeated_bytes_of_odd_rows(odd, none):
     rows = dedup_bytes.remove_repeats(odd).collect()
     assert len(rows) == odd.count()

@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines. One of which no word is left goes; ``n_chars`` follows the text."""
-    cut = linededup.remove_lines(docs)
+    cut = linededup.remove_lines(docs, both_ways=True)
     left, removed = cut.columns[-2], cut.columns[-3]
     kept = cut.where((F.col(left) > 0) | (F.col(removed) == 0))
     return kept.select(*[F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c)

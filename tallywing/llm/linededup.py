@@ -6,6 +6,11 @@ shares a fingerprint. Positions of fingerprints found once in the corpus are dro
 extended both ways over the windows they stand for, compared by name (a hash of the whole window). A window that stands
 earlier in the corpus too is a repeat and its lines go; windows that follow each other make up the repeated run.
 
+A run's last lines may hold too few words for a window that starts there. With ``both_ways`` the shortest run with enough
+words that ends at a line is a window too, so a repeated run is extended to its last line: a line goes if any run of lines
+with ``LEAST_WORDS`` words that covers it stands earlier. (Either a window starts at the line and lies in the run, or that
+which ends at the run's last line covers it.)
+
 Copies inside a task's buffer are settled there, so a line or passage in a third of all texts sends one row a buffer on,
 and no step pairs positions with each other.
 """
@@ -32,18 +37,27 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def windows_of(lines: list[str], words: list[int], least: int) -> list[tuple[int, int, int, int]]:
+def windows_of(lines: list[str], words: list[int], least: int, both_ways: bool = False) -> list[tuple[int, int, int, int]]:
     """(fingerprint, name, first line, last line) of each window, lines numbered as given."""
-    hashes, out, end, held = [_hash(line) for line in lines], [], 0, 0
+    hashes, places, end, held = [_hash(line) for line in lines], [], 0, 0
     for first in range(len(lines)):
         while end < len(lines) and held < least:
             held += words[end]
             end += 1
         if held < least:
             break
-        out.append((min(hashes[first:end]), _hash("\n".join(lines[first:end])), first, end - 1))
+        places.append((first, end))
         held -= words[first]
-    return out
+    if both_ways:
+        forward, first, held = set(places), 0, 0
+        for end in range(1, len(lines) + 1):
+            held += words[end - 1]
+            while held - words[first] >= least:
+                held -= words[first]
+                first += 1
+            if held >= least and (first, end) not in forward:
+                places.append((first, end))
+    return [(min(hashes[a:b]), _hash("\n".join(lines[a:b])), a, b - 1) for a, b in places]
 
 
 def worded(text: str | None) -> tuple[list[str], list[int], list[int]]:
@@ -54,7 +68,7 @@ def worded(text: str | None) -> tuple[list[str], list[int], list[int]]:
     return [lines[i] for i in at], [counts[i] for i in at], at
 
 
-def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, Column]:
+def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, both_ways: bool = False) -> tuple[DataFrame, Column]:
     """(doc, tag, runs) of each text with repeated lines: ``runs`` are (first, last) of lines that hold a word, which may
     overlap; and the expression of tag, which tells texts of one repeated id apart (0 where no id repeats)."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
@@ -93,7 +107,7 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFram
                 text = text.as_py()
                 lines, counts, _ = worded(text)
                 tag = zlib.crc32((text or "").encode("utf-8", "surrogatepass")) if tagged else 0
-                held.append((doc, tag, windows_of(lines, counts, least_words)))
+                held.append((doc, tag, windows_of(lines, counts, least_words, both_ways)))
                 size += len(text or "")
                 if size >= BUFFER_CHARS:
                     yield settled(held)
@@ -133,15 +147,16 @@ def without(text: str | None, runs) -> tuple[str | None, int, int, int, int | No
     return kept, len(lines), len(gone), sum(n for k, n in enumerate(counts) if k not in gone), min(gone)
 
 
-def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS, both_ways: bool = False) -> DataFrame:
     """``docs``, all columns, with ``text`` without later repeated runs of lines, and (n_lines, n_removed, kept_words,
     first_removed) under those names or, where ``docs`` has them, under the names with underscores before.
 
     Earlier is by doc_id, then line; a NULL id is before all others. Rows with equal id and text are one document and get
     the same result; of different texts with one id that with the smaller crc32 is first. A NULL text stays NULL. Runs
-    with fewer than ``least_words`` words stay, however often they stand. An empty table gives no rows.
+    with fewer than ``least_words`` words stay, however often they stand. With ``both_ways`` each repeated run goes to its last
+    line; without, its last lines stay where together they hold fewer than ``least_words`` words. An empty table gives no rows.
     """
-    runs, tag = find_runs(docs.select("doc_id", "text"), least_words)
+    runs, tag = find_runs(docs.select("doc_id", "text"), least_words, both_ways)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"))
     joined = rows.join(runs, ["doc", "tag"], "left")
     counts = "struct<text: string, n_lines: long, n_removed: long, kept_words: long, first_removed: long>"

@@ -130,6 +130,38 @@ def test_lines_against_a_loop(spark, docs, monkeypatch, buffer):
         assert got == lines_removed(data, linededup.LEAST_WORDS)
 
 
+def covered_lines_removed(docs, least):
+    """Every line goes that a run of lines with ``least`` words covers which stands earlier, whatever its ends."""
+    first, every = {}, {}
+    for doc, text in sorted(docs):
+        lines, counts, _ = linededup.worded(text)
+        runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if sum(counts[a:b + 1]) >= least]
+        every[doc] = linededup.without(text, [(a, b) for a, b in runs if first.setdefault(tuple(lines[a:b + 1]), (doc, a)) != (doc, a)])
+    return every
+
+
+@pytest.mark.parametrize("buffer", [200, 1 << 20])
+def test_matches_extend_both_ways(spark, monkeypatch, buffer):
+    monkeypatch.setattr(linededup, "BUFFER_CHARS", buffer)
+    rng = random.Random(8)
+    pool = ["one two three", "four five six seven", "eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen", "", "  ", "x", "y z"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"], r["kept_words"], r["first_removed"])
+           for r in linededup.remove_lines(frame, both_ways=True).collect()}
+    assert got == covered_lines_removed(rows, linededup.LEAST_WORDS) != lines_removed(rows, linededup.LEAST_WORDS)
+
+
+def test_line_stage_leaves_no_stump(spark, odd, small):
+    """The last line of a copy, too short for a window of its own, goes with the line before; a copy with nothing else goes."""
+    long = "a line of more than ten words which two texts share in full"
+    texts = [f"first\n{long}\nits end", f"second\n{long}\nits end\nand more", f"{long}\nits end"]
+    row = odd.where("doc_id = 1").drop("doc_id", "text")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").crossJoin(row)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, frame, small).collect()}
+    assert got == {0: texts[0], 1: "second\nand more"}
+
+
 def test_lines_of_odd_rows(odd, none):
     cut = linededup.remove_lines(odd)
     assert cut.columns == [*odd.columns, "n_lines", "_n_removed", "kept_words", "first_removed"]

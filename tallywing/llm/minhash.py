@@ -1,8 +1,11 @@
 """Near-duplicate texts by improved consistent weighted sampling.
 
 A text is its five-word shingles, each weighing its count in the text times its inverse document frequency. Document
-frequencies are counted over all documents in ``CELLS`` hashed cells, a table of fixed size: a shingle's cell holds at
-least its own documents, so passages that many texts share weigh little at any corpus size. Ioffe's sampling gives each
+frequencies are counted in ``CELLS`` hashed cells, a table of fixed size: a shingle's cell holds at least its own
+documents, so passages that many texts share weigh little at any corpus size. Documents are counted once for each group of
+near copies, by its representative: else the larger a group, the less what its texts share would weigh beside their edits,
+and the stricter ``SIMILAR`` would be. Representatives come from a first pass without weights (see ``representatives``).
+Ioffe's sampling gives each
 text ``BANDS * ROWS`` samples, two of which agree with a probability equal to the weighted Jaccard similarity; texts that
 agree on all samples of a band are candidates, and a candidate pair is a link if its weighted Jaccard similarity,
 computed from the whole texts, is at least ``SIMILAR``.
@@ -29,6 +32,8 @@ from tallywing.llm.common import frugal, settle, worker_keeps
 WORDS, SIMILAR, BANDS, ROWS, CELLS, SLOTS = 5, 0.8, 16, 4, 1 << 18, 1 << 15
 #: Texts on a side of a tile, and in a bucket whose open pairs are written as rows.
 TILE, CROWD = 256, 32
+#: Of the first pass: bands and samples of each, and the share of equal samples that makes two texts near copies there.
+FIRST_BANDS, FIRST_ROWS, FIRST_ALIKE = 16, 8, 0.6
 BUFFER_CHARS, NO_ID = 1 << 20, -(1 << 63)
 
 _rng = np.random.default_rng(5)
@@ -145,8 +150,66 @@ def _groups(batches, text_at: int):
         yield rows
 
 
+def plain_samples(hashes: np.ndarray, samples: int) -> np.ndarray:
+    """The least of the text's shingles under ``samples`` orders, two of which agree with a probability of the plain Jaccard similarity."""
+    one, two = worker_keeps(("orders", samples), lambda: np.random.default_rng(17).integers(0, 1 << 32, (2, samples), dtype=np.uint32) | np.uint32(1))
+    short = (_mixed(hashes, 3) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(samples, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(short), 1024):
+        order = short[None, a: a + 1024] * one[:, None]
+        order ^= order >> np.uint32(15)
+        order *= two[:, None]
+        np.minimum(least, order.min(axis=1), out=least)
+    return least
+
+
+def representatives(texts: DataFrame, words: int) -> DataFrame:
+    """(doc, node) of texts with words, one of each group of near copies or a few, however large the group is.
+
+    A text is left out if, in a bucket of plain samples, the text with the smallest node is smaller than its own and agrees
+    with it on at least ``FIRST_ALIKE`` of all samples. Of texts that agree on a band with probability p about 1 / p stay.
+    """
+    samples = FIRST_BANDS * FIRST_ROWS
+
+    def sketch(batches):
+        for held in _groups(batches, 2):
+            found = [plain_samples(h, samples) if len(h) else None for h, _ in shingles([r[2] for r in held], words)]
+            kept = [i for i, f in enumerate(found) if f is not None]
+            names = np.zeros((len(kept), FIRST_BANDS), np.uint64)
+            if kept:
+                by_band = np.stack([found[i] for i in kept]).astype(np.uint64).reshape(len(kept), FIRST_BANDS, FIRST_ROWS)
+                for j in range(FIRST_ROWS):
+                    names = _mixed(names + by_band[:, :, j], 4 + j % 3)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([held[i][0] for i in kept], pa.int64()), pa.array([held[i][1] for i in kept], pa.binary()),
+                pa.array([found[i].astype(np.uint8).tobytes() for i in kept], pa.binary()),
+                pa.array(list(names.view(np.int64)), pa.list_(pa.int64()))], names=["doc", "node", "sketch", "bands"])
+
+    drawn = settle(texts.select("doc", "node", "data").mapInArrow(frugal(sketch), "doc long, node binary, sketch binary, bands array<long>"), "near-sketches")
+    nodes = settle(drawn.groupBy("node").agg(F.min("doc").alias("doc"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "near-sketched")
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "name"))
+    led = settle(buckets.groupBy("band", "name").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+                 .select("band", "name", "leader"), "near-first")
+    met = settle(buckets.join(led, ["band", "name"]).where("leader < node").select("node", "leader").distinct(), "near-met")
+    sketches = nodes.select("node", "sketch")
+    both = met.join(sketches, "node").join(sketches.select(F.col("node").alias("leader"), F.col("sketch").alias("theirs")), "leader")
+
+    def alike(batches):
+        for batch in batches:
+            same = [np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) >= FIRST_ALIKE * samples
+                    for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same, pa.bool_()))], names=["node"])
+
+    copies = both.select("node", "sketch", "theirs").mapInArrow(frugal(alike), "node binary").distinct()
+    return settle(nodes.select("doc", "node").join(copies, "node", "left_anti"), "near-representatives")
+
+
 def cell_weights(texts: DataFrame, words: int, cells: int) -> np.ndarray:
-    """ln(1 + documents / documents in the cell) for each cell, from all rows of ``texts`` (data binary)."""
+    """ln(1 + documents / documents in the cell) for each cell, from the representatives of ``texts`` (data binary, and doc
+    and node where it has them)."""
+    if "node" not in texts.columns:
+        texts = texts.select(F.lit(NO_ID).alias("doc"), F.unhex(F.md5("data")).alias("node"), "data")
+    chosen = representatives(texts, words)
 
     def count(batches):
         total = np.zeros(cells, np.int64)
@@ -156,10 +219,11 @@ def cell_weights(texts: DataFrame, words: int, cells: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
-    counts = texts.select("data").mapInArrow(frugal(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    once = texts.join(chosen, ["doc", "node"]).groupBy("doc", "node").agg(F.first("data").alias("data")).select("data")  # repeated rows once
+    counts = settle(once.mapInArrow(frugal(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "near-cells").toPandas()
     found = np.zeros(cells)
     found[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return np.log1p(max(1, texts.count()) / np.maximum(found, 1)).astype(np.float32)
+    return np.log1p(max(1, chosen.count()) / np.maximum(found, 1)).astype(np.float32)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, words: int) -> DataFrame:

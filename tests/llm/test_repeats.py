@@ -284,6 +284,29 @@ def test_frequent_shingles_weigh_less(spark):
     assert weights[cells[0]] == pytest.approx(math.log(2)) and weights[cells[1]] > 3
 
 
+def test_a_group_of_a_third_of_all_rows_is_judged_like_a_small_one(spark):
+    """Copies of one text with 2 or 3 of 200 words changed: the similarity does not fall as the group grows."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(200)]
+
+    def copy(k):
+        words = list(base)
+        for i in range(rng.choice((2, 3))):
+            words[20 + 60 * i + rng.randrange(40)] = f"edit{k}x{i}"
+        return " ".join(words)
+
+    texts = [" ".join(base)] + [copy(k) for k in range(99)] + [" ".join(f"o{k}x{rng.randrange(10**6)}" for _ in range(200)) for k in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    weights = minhash.cell_weights(frame.select(F.col("text").cast("binary").alias("data")), 5, minhash.CELLS)
+    whole = [(h, n, n * weights[minhash.cell_of(h, len(weights))]) for h, n in minhash.shingles([t.encode() for t in texts[:100]])]
+    pairs = [(minhash.similarity((whole[i][0], whole[i][1]), (whole[j][0], whole[j][1])), minhash.similarity((whole[i][0], whole[i][2]), (whole[j][0], whole[j][2])))
+             for i in range(100) for j in range(i)]
+    near = [(plain, weighted) for plain, weighted in pairs if 0.8 <= plain <= 0.95]
+    assert len(near) > 100 and max(abs(plain - weighted) for plain, weighted in near) < 0.03
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in minhash.classes(frame).collect()}
+    assert got == {i: (0, 100) if i < 100 else (i, 1) for i in range(300)}
+
+
 def test_pipeline(spark, small, odd, none):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "mix_sources", "pack"]
     pieces = corpus_pipeline.run(spark, small)

@@ -11,6 +11,7 @@ import time
 
 import duckdb
 import pandas as pd
+from pyspark.sql.types import IntegralType
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -50,8 +51,12 @@ def kinds(df: pd.DataFrame) -> dict[str, str]:
 
 def compare(query, spark, con, folder) -> tuple[str, float, int]:
     start = time.time()
-    got = query(spark, folder).toPandas()
+    found = query(spark, folder)
+    got = found.toPandas()
     took = time.time() - start
+    for field in found.schema:  # pandas shows whole numbers with NULLs among them as floats
+        if isinstance(field.dataType, IntegralType) and got[field.name].dtype.kind == "f":
+            got[field.name] = got[field.name].astype("Int32" if field.dataType.simpleString() == "int" else "Int64")
     if query.sql is None:
         return "rows-only", took, len(got)
     want = con.execute(query.sql).df()

@@ -38,6 +38,7 @@ TOLERANCE = 1e-8
 MAX_STEPS = 60
 MAX_HALVINGS = 25
 LONGEST_STEP = 2.0
+MOST_ETA = 50.0  # a step that takes a row's linear predictor beyond this is rejected
 BLOCK_ROWS = 2_048
 BLOCK_CELLS = 400_000  # rows x models worked on at a time, so that a block stays in cache
 
@@ -72,7 +73,8 @@ def _clip(value: Column, low: float, high: float) -> Column:
 def start_state(models: DataFrame, moments: DataFrame, terms: int) -> DataFrame:
     """First guess: the group mean, theta from the variance, a part of the zeros as extra zeros.
 
-    Groups without a single bird have no finite estimate and are left out.
+    Groups without a single bird have no finite estimate: their models are done from the start, unconverged and without
+    coefficients.
     """
     mean, var = F.col("mean"), F.coalesce("var", F.lit(0.0))
     theta = F.when(var > mean, mean * mean / F.greatest(var - mean, F.lit(1e-9))).otherwise(F.lit(50.0))
@@ -82,10 +84,10 @@ def start_state(models: DataFrame, moments: DataFrame, terms: int) -> DataFrame:
         F.array(F.log(_clip(theta, 0.05, 50.0)), F.log(extra / (1 - extra))),
     )
     blank = F.array_repeat(F.lit(0.0), terms + 3)
-    return models.join(moments.filter("mean > 0"), "group").select(
-        "group", "model_id", "family", "mask", F.coalesce("start", guess).alias("params"), blank.alias("base"),
+    return models.join(moments, "group").select(
+        "group", "model_id", "family", "mask", F.when(mean > 0, F.coalesce("start", guess)).alias("params"), blank.alias("base"),
         blank.alias("step"), F.lit(float("-inf")).alias("base_loglik"), F.lit(0).alias("halvings"), F.lit(0).alias("steps"),
-        F.lit(False).alias("done"), F.lit(False).alias("converged"), F.col("n"),
+        (mean <= 0).alias("done"), F.lit(False).alias("converged"), F.col("n"),
         F.lit(None).cast("double").alias("loglik"), F.lit(None).cast("array<double>").alias("vcov"),
     )
 
@@ -171,9 +173,10 @@ def _block_sums(x: np.ndarray, y: np.ndarray, family: np.ndarray, params: np.nda
         step = max(1, BLOCK_CELLS // len(mine))
         for begin in range(0, len(y), step):
             rows = np.column_stack([np.ones(len(y[begin:begin + step])), x[begin:begin + step]])
-            eta = np.clip(rows @ params[mine, :size].T, -50.0, 50.0)
-            d = _derivatives(int(code), y[begin:begin + step], eta, params[mine], terms)
-            sums[:, where["ll"]] += d["l"].sum(axis=0)
+            eta = rows @ params[mine, :size].T
+            near = (np.abs(eta) <= MOST_ETA).all(axis=0)
+            d = _derivatives(int(code), y[begin:begin + step], np.clip(eta, -MOST_ETA, MOST_ETA), params[mine], terms)
+            sums[:, where["ll"]] += np.where(near, d["l"].sum(axis=0), -np.inf)
             sums[:, where["g0"]:where["g0"] + size] += d["s"].T @ rows
             sums[:, where["h0_0"]:where["h0_0"] + len(left)] += d["h"].T @ (rows[:, left] * rows[:, right])
             if code >= 1:
@@ -292,7 +295,7 @@ def _advance(terms: int, negbin: bool, inflated: bool, covariance: bool):
         grad, hess = assemble(sums)
         free = free_parameters(pdf, params, grad)
         accepted = np.isfinite(loglik) & (loglik >= base_loglik - 1e-9 * (1 + np.abs(base_loglik)))
-        accepted |= np.isneginf(base_loglik)
+        accepted |= np.isneginf(base_loglik) & np.isfinite(loglik)
 
         both = free[:, :, None] & free[:, None, :]
         curve = np.where(both, -hess, 0.0)
@@ -359,7 +362,8 @@ def fit_counts(frame: CountFrame, models: DataFrame, families: Sequence[str], co
     """Fit every row of ``models`` (``group, model_id, family, mask, start``) on a prepared frame.
 
     ``mask`` says which terms a model has (bit i is term i). Returns one row per model:
-    ``group, model_id, family, mask, n, k, loglik, converged, steps, beta, log_theta, zeta, vcov``.
+    ``group, model_id, family, mask, n, k, loglik, converged, steps, beta, log_theta, zeta, vcov``. A model that did not converge
+    stays, with ``converged`` false; a group without a single bird has no coefficients.
     The loop runs on the driver, but it only asks one yes/no question per step; state stays in a
     table in the shared folder, which also cuts the lineage.
     """
@@ -410,7 +414,7 @@ def coefficients(fits: DataFrame, terms: Sequence[str]) -> DataFrame:
             (F.lit(i == 0) | (F.shiftright("mask", max(i - 1, 0)).bitwiseAND(1) == 1)).alias("has"),
         ) for i, name in enumerate(names)
     ])
-    rows = fits.select("group", "model_id", "family", F.explode(cells).alias("c")).filter("c.has")
+    rows = fits.filter("beta is not null").select("group", "model_id", "family", F.explode(cells).alias("c")).filter("c.has")
     flat = rows.select("group", "model_id", "family", "c.term", "c.estimate", "c.se")
     return flat.withColumn("z", F.try_divide("estimate", "se"))
 

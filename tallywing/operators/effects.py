@@ -33,7 +33,7 @@ def with_fit(frame: DataFrame, fits: DataFrame, terms: Sequence[str] = tuple(TER
     Written in the JVM; the fits are a few rows per group and join by their true size.
     """
     family = F.col("family")
-    params = fits.select(
+    params = fits.filter("beta is not null").select(
         F.col("group").alias(by), "family", "k", "mask", "beta", F.exp("log_theta").alias("theta"),
         F.coalesce(1 / (1 + F.exp(-F.col("zeta"))), F.lit(0.0)).alias("pi"),
     )

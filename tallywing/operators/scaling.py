@@ -43,12 +43,12 @@ def with_terms(frame: DataFrame, by: str = "species", terms: Sequence[str] = tup
     return out.withColumn("z_doy2", F.col("z_doy") * F.col("z_doy")) if "doy2" in terms else out
 
 
-def design(frame: DataFrame, by: str = "species", terms: Sequence[str] = tuple(TERMS)) -> DataFrame:
-    """``(group, y, x1 .. xp)`` ready for fitting."""
+def design(frame: DataFrame, by: str = "species", terms: Sequence[str] = tuple(TERMS), keep: Sequence[str] = ()) -> DataFrame:
+    """``(group, y, x1 .. xp)`` ready for fitting, and the columns ``keep``."""
     scaled = with_terms(frame, by, terms)
     return scaled.select(
         F.col(by).cast("string").alias("group"), F.col("birds").cast("double").alias("y"),
-        *[F.col(f"z_{t}").alias(f"x{i + 1}") for i, t in enumerate(terms)],
+        *[F.col(f"z_{t}").alias(f"x{i + 1}") for i, t in enumerate(terms)], *keep,
     )
 
 

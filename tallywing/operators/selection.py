@@ -44,17 +44,20 @@ def aicc(loglik: Column, k: Column, n: Column) -> Column:
 
 
 def rank_models(scores: DataFrame, by: str = "group") -> DataFrame:
-    """Add ``delta``, Akaike ``weight`` and ``position`` within each group.
+    """Add ``delta``, Akaike ``weight``, ``position`` and ``left_out`` within each group.
 
-    Weights are taken over all models that converged, before any cut. The window holds one row per
-    candidate model of a group.
+    Weights are taken over all models with an AICc, before any cut. A model without one (not converged, or with too few
+    rows) keeps its row: its delta, weight and position are NULL, and ``left_out`` counts such models of the group. The
+    window holds one row per candidate model of a group.
     """
     group = Window.partitionBy(by)
-    out = scores.filter(F.col("aicc").isNotNull()).withColumn("delta", F.col("aicc") - F.min("aicc").over(group))
+    out = scores.withColumns({
+        "delta": F.col("aicc") - F.min("aicc").over(group), "left_out": F.count_if(F.col("aicc").isNull()).over(group)})
     likelihood = F.exp(-F.col("delta") / 2)
-    order = Window.partitionBy(by).orderBy("aicc", "model_id")
+    order = Window.partitionBy(by).orderBy(F.asc_nulls_last("aicc"), "model_id")
     return out.withColumns({
-        "weight": likelihood / F.sum(likelihood).over(group), "position": F.row_number().over(order),
+        "weight": likelihood / F.sum(likelihood).over(group),
+        "position": F.when(F.col("aicc").isNotNull(), F.row_number().over(order)),
     })
 
 
@@ -67,8 +70,8 @@ def top_models(ranked: DataFrame) -> DataFrame:
 
 
 def scores_of(fits: DataFrame) -> DataFrame:
-    """Converged fits with their AICc."""
-    return fits.filter("converged").withColumn("aicc", aicc(F.col("loglik"), F.col("k"), F.col("n")))
+    """Fits with their AICc, NULL for those that did not converge."""
+    return fits.withColumn("aicc", F.when(F.col("converged"), aicc(F.col("loglik"), F.col("k"), F.col("n"))))
 
 
 def _subset_starts(terms: Sequence[str]):
@@ -98,7 +101,7 @@ def all_subsets(
     """Every allowed subset of the terms, fitted for every group. ``model_id`` is the term mask."""
     terms = list(terms)
     ready = prepare(design(settle(frame, "frame"), by, terms), len(terms))
-    full = fit_counts(ready, full_models(ready.moments, [family], len(terms)), [family])
+    full = fit_counts(ready, full_models(ready.moments, [family], len(terms)), [family]).filter("beta is not null")
     start = full.withColumnRenamed("mask", "full_mask").withColumn("family_code", F.lit(FAMILIES[family]))
     schema = "group string, model_id int, family int, mask int, start array<double>"
     candidates = settle(model_space(start, terms, needs).mapInPandas(_subset_starts(terms), schema), "candidates")
@@ -106,7 +109,7 @@ def all_subsets(
 
 
 def select_models(frame: DataFrame, family: str, by: str = "species", terms: Sequence[str] = tuple(TERMS)) -> DataFrame:
-    """Ranked candidates: AICc, delta and weight of every subset that converged, per group."""
+    """Ranked candidates: AICc, delta and weight of every subset, per group; see ``rank_models`` for those that did not converge."""
     return rank_models(scores_of(all_subsets(frame, family, by, terms)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallywing.plans.standins import Tables, with_views
 
-MODULES = ("sheet_queries", "clean_queries", "summary_queries", "weather_queries", "model_queries", "score_queries", "timing_queries")
+MODULES = ("sheet_queries", "clean_queries", "summary_queries", "weather_queries", "model_queries", "score_queries", "mixed_queries", "timing_queries")
 
 
 @dataclass(frozen=True)

@@ -89,8 +89,10 @@ def test_fit_reaches_the_maximum(fits, data, group, family):
         assert fit["beta"] == pytest.approx(list(best[:3]), abs=2e-3)
 
 
-def test_groups_without_birds_have_no_fit(fits):
-    assert not any(group == "none" for group, _ in fits)
+def test_groups_without_birds_show_that_they_have_no_fit(fits):
+    for family in cm.FAMILIES:
+        fit = fits["none", family]
+        assert not fit["converged"] and fit["beta"] is None and fit["loglik"] is None and fit["n"] == 5
 
 
 def test_underdispersed_data_pins_theta(fits):

@@ -61,32 +61,62 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
 
 
+#: Seconds without a partition after which a worker drops what it keeps.
+IDLE = 2.0
+
+
+def _kept() -> dict:
+    return sys.modules.setdefault("tallywing_worker", types.ModuleType("tallywing_worker")).__dict__
+
+
 def worker_keeps(key: tuple, make: Callable):
-    """``make()``, once for each worker process: functions travel to workers by value, so a module's own table would not outlive a task."""
-    kept = sys.modules.setdefault("tallywing_worker", types.ModuleType("tallywing_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """``make()``, once for each worker process: functions travel to workers by value, so a module's own table would not outlive a task.
+
+    A worker that ``frugal`` finds idle drops its tables and makes them anew when they are asked for.
+    """
+    tables = _kept().setdefault("tables", {})
+    if key not in tables:
+        tables[key] = make()
+    return tables[key]
+
+
+def trim() -> None:
+    """Give the memory that is no longer needed back to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if malloc_trim is not None:
+        malloc_trim(0)
 
 
 def frugal(read: Callable) -> Callable:
-    """``read`` for mapInArrow, giving the memory it no longer needs back to the machine when its partition is done.
+    """``read`` for mapInArrow, giving memory back to the machine when its partition is done.
 
-    Workers stay for later stages, and what their allocators hold on to counts against the executor there.
+    Workers stay for later stages, and what they hold on to counts against the executor there: allocators' free memory
+    goes back at once, kept tables when the next partition does not follow soon.
     """
 
+    def drop():
+        _kept().pop("tables", None)
+        trim()
+
     def run(batches):
+        waiting = _kept().pop("waiting", None)
+        if waiting is not None:
+            waiting.cancel()
         yield from read(batches)
-        import ctypes
-        import gc
-
-        import pyarrow
+        trim()
+        if _kept().get("tables"):
+            import threading
 
-        gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
-        if trim is not None:
-            trim(0)
+            waiting = _kept()["waiting"] = threading.Timer(IDLE, drop)
+            waiting.daemon = True
+            waiting.start()
 
     return run
 

@@ -11,6 +11,7 @@ last stretches, and a task holds one batch of documents and its open windows.
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import unicodedata
@@ -29,7 +30,7 @@ from tallywing.session import scratch_path
 LENGTH, OPEN_WINDOWS, END_ID = 2048, 64, 1
 #: Partitions whose last stretches are merged together, and rows of bytes a task holds before it hands them on.
 MERGED, FLUSH_BYTES = 256, 8 << 20
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, in two halves: when the younger is full, it becomes the older, which goes.
 REMEMBERED = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -43,18 +44,28 @@ class WordIds(dict):
     The vocabulary drops white space and case, and normalises and splits inside words only, so the ids of a text are
     those of its words one after the other. A word of letters with marks around it has the ids of its parts;
     apostrophes, which the vocabulary joins to letters, and special tokens, which begin with ``<|``, are left to the
-    tokenizer, and so are texts whose case or marks might behave otherwise alone.
+    tokenizer, and so are texts whose case or marks might behave otherwise alone, texts that are not in NFC, and all texts
+    where the vocabulary has other rules than these.
     """
 
     marks = "".join(sorted(set(string.punctuation) - set("'<")))
     odd = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")  # special tokens; what Python alone splits at; a letter with two lower cases
-    runs = re.compile(r"[^\w\s][.,]\s|_[.,]\s")  # marks that stand together are one part
+    runs = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])\s")  # marks that stand together are one part
+    #: Fixed: the vocabulary's rules for white space, case and parts of words, for which words may be taken one by one.
+    normalizer = {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    splits = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}  # the words before these; one that is met again stays
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        parts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_words = rules["normalizer"] == self.normalizer and [p["type"] for p in parts] == ["Split", "ByteLevel"] and (
+            parts[0]["pattern"] == {"Regex": self.splits} and not parts[1]["add_prefix_space"])
 
     def encode(self, words: list[str]) -> None:
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -93,26 +104,31 @@ class WordIds(dict):
             self[word] = b"".join(map(self.__getitem__, parts))
 
     def words(self, text: str) -> list[str] | None:
-        if any(mark in text for mark in self.odd):
+        if not self.by_words or any(mark in text for mark in self.odd) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return None
-        if text.isascii() or unicodedata.is_normalized("NFC", text):
-            text = text.lower()
+        text = text.lower()
         if not self.runs.search(text):
             text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
         return text.split()
 
     def texts(self, texts: list[str]) -> list[bytes]:
         plain = [self.words(t) for t in texts]
-        every = set().union(*(w for w in plain if w is not None))
-        new = every.difference(self)
-        if len(self) + len(new) > REMEMBERED:
+        found = [None if w is None else list(map(self.get, w)) for w in plain]
+        short = [k for k, ids in enumerate(found) if ids is not None and None in ids]
+        new = {word for k in short for word, ids in zip(plain[k], found[k]) if ids is None}
+        if 2 * (len(self) + len(new)) > REMEMBERED:
+            self.older = dict(self)
             self.clear()
-            new = every
+            new = {word for k in short for word in plain[k]}
         if new:
-            self.learn(new)
+            known = self.older.keys() & new
+            self.update((word, self.older[word]) for word in known)
+            self.learn(new - known)
+            for k in short:
+                found[k] = map(self.__getitem__, plain[k])
         whole = [t for t, w in zip(texts, plain) if w is None]
         got = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        return [np.asarray(next(got).ids, dtype="<u4").tobytes() if w is None else b"".join(map(self.__getitem__, w)) for w in plain]
+        return [np.asarray(next(got).ids, dtype="<u4").tobytes() if ids is None else b"".join(ids) for ids in found]
 
 
 def word_ids(path: str) -> WordIds:

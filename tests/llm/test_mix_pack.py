@@ -144,3 +144,34 @@ def test_best_fit(sizes, windows, left):
         except StopIteration as stop:
             assert (got, [[p[0] for p in w] for w in stop.value]) == (windows, left)
             return
+
+
+def test_ids_of_fuzzed_texts(monkeypatch):
+    """Words one by one give the tokenizer's own ids: rare letters, texts not in NFC, marks in a row, special tokens, and a small table of words."""
+    import public_tokenizers
+
+    table = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert table.by_words
+    rng = random.Random(5)
+    letters = [*"ab Z.,'\"-_!?<|>\n\t0", "é", "e\u0301", "İ", "i\u0307", "ß", "Σ", "ς", "中", "😀", "\u00a0", "\u2028", "\x1c", "ﬁ", "Ǆ", "'s", "'LL", " .", ". ", ", ", "__", ").", "ſ", "K", "२"]
+    for most in (40, 500_000):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        for _ in range(30):
+            texts = ["".join(rng.choices(letters, k=rng.randrange(1, 14))) for _ in range(1000)]
+            want = [np.asarray(e.ids, dtype="<u4").tobytes() for e in table.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert table.texts(texts) == want
+
+
+def test_a_vocabulary_with_other_rules_is_not_split_into_words(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    rules = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    rules["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules))
+    table = packing.WordIds(str(path))
+    assert not table.by_words
+    text = "Some Words in Upper case."
+    assert table.texts([text]) == [np.asarray(table.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]

@@ -1,5 +1,7 @@
 """Mixing to target weights, and packing."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

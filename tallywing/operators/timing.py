@@ -6,11 +6,13 @@ products per species, added up where a figure is pooled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.functions.numbers import ratio
-from tallywing.functions.special import student_two_sided_p
+from tallywing.functions.special import f_upper_p, student_two_sided_p
 
 Z95 = 1.96
 
@@ -40,32 +42,79 @@ def species_trends(days: DataFrame, by: str = "species") -> DataFrame:
     return sums.withColumn("rss", F.col("syy") - F.coalesce(F.col("slope"), F.lit(0.0)) * F.col("sxy"))
 
 
-def _pooled(trends: DataFrame) -> DataFrame:
-    """One row of pooled sums.
+#: Bounds of the variance ratio on a log scale, and halvings of the search.
+_LOG_RATIO, _HALVINGS = (-30.0, 30.0), 120
+#: Year and day that sums are taken about, so that squares keep their digits.
+_ORIGIN = (2000.0, 180.0)
+
+
+def _line(sums: np.ndarray, within: np.ndarray, ratio_: float) -> tuple[float, ...]:
+    """Fit at a given ratio of the levels' variance to that of residuals.
 
-    Maximum likelihood of a line with a random level per species, on a balanced panel: the residual variance divides by
-    the rows less one per species, and the variance of the levels (``levels``) is that of the species' means about the
-    line less what residuals add to it. Levels need the slope, so their squares are summed in three parts.
+    ``sums`` has a row for each number of years: years, species, and the sums over their species of mean x, mean y, and the
+    products. A species' mean weighs n / (1 + n ratio) beside what its years say within it.
     """
-    n, species = F.sum("n"), F.count("*")
-    slope = ratio(F.sum("sxy"), F.sum("sxx"))
-    a, b = F.col("mean_y"), F.col("mean_x")
-    rows = trends.agg(
-        n.alias("n"), species.alias("species"), (n - species).alias("df"), F.sum("sxx").alias("sxx"), slope.alias("slope"),
-        ratio(F.sum("syy") - slope * F.sum("sxy"), n - species).alias("sigma2"),
-        ratio(F.sum(b * F.col("n")), n).alias("mean_x"), ratio(F.sum(a * F.col("n")), n).alias("mean_y"),
-        F.var_pop(a).alias("aa"), F.covar_pop(a, b).alias("ab"), F.var_pop(b).alias("bb"),
-    )
-    spread = F.col("aa") - 2 * F.col("slope") * F.col("ab") + F.col("slope") * F.col("slope") * F.col("bb")
-    levels = F.greatest(F.lit(0.0), spread - F.col("sigma2") * F.col("species") / F.col("n"))
-    return rows.withColumn("levels", levels).drop("aa", "ab", "bb")
+    n, k, sx, sy, sxx, sxy, syy = sums.T
+    w = n / (1 + n * ratio_)
+    total = (w * k).sum()
+    mean_x, mean_y = (w * sx).sum() / total, (w * sy).sum() / total
+    xx = within[0] + (w * (sxx - 2 * mean_x * sx + mean_x**2 * k)).sum()
+    xy = within[1] + (w * (sxy - mean_x * sy - mean_y * sx + mean_x * mean_y * k)).sum()
+    yy = within[2] + (w * (syy - 2 * mean_y * sy + mean_y**2 * k)).sum()
+    slope = xy / xx if xx > 0 else np.nan
+    rss = yy - slope * xy
+    level = mean_y - slope * mean_x
+    squares = syy + level**2 * k + slope**2 * sxx - 2 * level * sy - 2 * slope * sxy + 2 * level * slope * sx
+    rows = (n * k).sum()
+    score = rows * (w * w * squares).sum() / rss - (w * k).sum() if rss > 0 else -np.inf
+    return score, slope, mean_x, mean_y, xx, rss / rows, total
+
+
+def _most_likely(batches):
+    """One row of the maximum-likelihood line from one row of sums: the ratio is where the likelihood's slope in it is 0, or 0."""
+    for pdf in batches:
+        out = []
+        for row in pdf.to_dict("records"):
+            groups = [[float(g[c]) for c in ("n", "k", "sx", "sy", "sxx", "sxy", "syy")] for g in row["groups"]]
+            sums, within = np.array(groups), np.array([row["sxx"], row["sxy"], row["syy"]], float)
+            found, ratio_ = _line(sums, within, 0.0), 0.0
+            if found[0] > 0:
+                low, high = _LOG_RATIO
+                for _ in range(_HALVINGS):
+                    middle = (low + high) / 2
+                    low, high = (middle, high) if _line(sums, within, np.exp(middle))[0] > 0 else (low, middle)
+                ratio_ = float(np.exp((low + high) / 2))
+                found = _line(sums, within, ratio_)
+            _, slope, mean_x, mean_y, xx, sigma2, total = found
+            known = bool(np.isfinite(slope))
+            out.append((row["n"], row["species"], row["n"] - row["species"], xx, slope if known else None, sigma2 if known else None,
+                        mean_x + _ORIGIN[0], mean_y + _ORIGIN[1], ratio_ * sigma2 if known else None, total))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _POOLED.split(", ")])
+
+
+_POOLED = ("n bigint, species bigint, df bigint, sxx double, slope double, sigma2 double, mean_x double, mean_y double, levels double, weight double")
 
 
-def pooled_trend(trends: DataFrame) -> DataFrame:
-    """One slope for all species, each with its own level.
+def _pooled(trends: DataFrame) -> DataFrame:
+    """One row of the pooled line: maximum likelihood of a line with a random level per species, whatever years each has.
 
-    On a balanced panel slope and standard error are those of a random-intercept model by maximum likelihood.
+    The profile likelihood in the ratio of the two variances needs the sums within species and, for each number of years
+    a species can have, sums over its species; so one row with an entry per number of years goes to the search. ``mean_x`` and
+    ``mean_y`` are the weighted means, ``weight`` the sum of weights, ``levels`` the variance of levels, ``sigma2`` that of residuals.
     """
+    a, b = F.col("mean_x") - F.lit(_ORIGIN[0]), F.col("mean_y") - F.lit(_ORIGIN[1])
+    by_years = trends.groupBy("n").agg(
+        F.count("*").alias("k"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"),
+        F.sum(b * b).alias("syy"), F.sum("sxx").alias("in_xx"), F.sum("sxy").alias("in_xy"), F.sum("syy").alias("in_yy"))
+    entry = F.struct("n", "k", "sx", "sy", "sxx", "sxy", "syy")
+    one = by_years.agg(
+        F.sort_array(F.collect_list(entry)).alias("groups"), F.sum("in_xx").alias("sxx"), F.sum("in_xy").alias("sxy"), F.sum("in_yy").alias("syy"),
+        F.sum(F.col("n") * F.col("k")).alias("n"), F.sum("k").alias("species"))
+    return one.filter("n is not null").mapInPandas(_most_likely, _POOLED)
+
+
+def pooled_trend(trends: DataFrame) -> DataFrame:
+    """One slope for all species, each with its own random level, with its interval."""
     sums = _pooled(trends).withColumn("se", F.sqrt(ratio(F.col("sigma2"), F.col("sxx"))))
     return sums.withColumns({
         "intercept": F.col("mean_y") - F.col("slope") * F.col("mean_x"),
@@ -75,13 +124,11 @@ def pooled_trend(trends: DataFrame) -> DataFrame:
 
 def _with_pooled_variance(trends: DataFrame) -> DataFrame:
     """Lines of species seen in two years or more, with the maximum-likelihood residual variance of
-    all lines together and its degrees of freedom. The one row of sums comes by the driver."""
+    all lines together and its degrees of freedom."""
     lines = trends.filter("sxx > 0")
-    sums = lines.agg(F.sum("rss").alias("rss"), F.sum("n").alias("n"), F.count("*").alias("k")).first()
-    return lines.withColumns({
-        "sigma2": ratio(F.lit(sums["rss"]).cast("double"), F.lit(sums["n"]).cast("long")),
-        "df": F.lit(None if sums["n"] is None else sums["n"] - 2 * sums["k"] - 1).cast("long"),
-    })
+    sums = lines.agg(ratio(F.sum("rss"), F.sum("n")).alias("sigma2"), (F.sum("n") - 2 * F.count("*") - 1).cast("long").alias("df"))
+    whole = sums.select(F.struct("sigma2", "df")).scalar()
+    return lines.withColumn("whole", whole).select(*lines.columns, "whole.sigma2", "whole.df")
 
 
 def slope_tests(trends: DataFrame, by: str = "species") -> DataFrame:
@@ -92,17 +139,17 @@ def slope_tests(trends: DataFrame, by: str = "species") -> DataFrame:
     return rows.select(
         by, F.col("slope").alias("year_trend"), (F.col("slope") - Z95 * F.col("se")).alias("lci"),
         (F.col("slope") + Z95 * F.col("se")).alias("uci"), "se", "df", "t_ratio",
-        student_two_sided_p(F.col("t_ratio"), F.col("df").cast("int")).alias("p_value"),
+        student_two_sided_p(F.col("t_ratio"), F.col("df")).alias("p_value"),
     )
 
 
 def predict_all(days: DataFrame, trends: DataFrame, by: str = "species") -> DataFrame:
     """Mean day per year from the pooled trend, with its interval, which holds how far species' levels vary."""
-    pooled = _pooled(trends).first().asDict()
     rows = days.filter("mean_doy is not null").join(trends.select(by), by, "left_semi").select("year").distinct()
-    rows = rows.withColumns({c: F.lit(pooled[c]) for c in ("n", "species", "sxx", "mean_x", "mean_y", "slope", "sigma2", "levels")})
+    pooled = _pooled(trends)
+    rows = rows.withColumn("line", pooled.select(F.struct(*pooled.columns)).scalar()).select("year", "line.*")
     away = F.col("year") - F.col("mean_x")
-    se = F.sqrt(F.col("sigma2") * (1 / F.col("n") + ratio(away * away, F.col("sxx"))) + F.col("levels") / F.col("species"))
+    se = F.sqrt(F.col("sigma2") * (1 / F.col("weight") + ratio(away * away, F.col("sxx"))))
     return rows.select("year", (F.col("mean_y") + F.col("slope") * away).alias("predicted"), se.alias("se")).select(
         "year", "predicted", (F.col("predicted") - Z95 * F.col("se")).alias("conf_low"),
         (F.col("predicted") + Z95 * F.col("se")).alias("conf_high"),
@@ -130,7 +177,7 @@ def shift(predicted: DataFrame, *by: str) -> DataFrame:
 
 
 def equal_variance(days: DataFrame, trends: DataFrame, by: str = "species") -> DataFrame:
-    """Brown-Forsythe F of the residuals about each species' line."""
+    """Brown-Forsythe F of the residuals about each species' line, with its p-value."""
     rows = days.filter("mean_doy is not null").join(trends.filter("sxx > 0").select(by, "slope", "intercept"), by)
     rows = rows.withColumn("r", F.col("mean_doy") - F.col("intercept") - F.col("slope") * F.col("year"))
     spread = rows.join(rows.groupBy(by).agg(F.median("r").alias("middle")), by).withColumn("z", F.abs(F.col("r") - F.col("middle")))
@@ -143,6 +190,7 @@ def equal_variance(days: DataFrame, trends: DataFrame, by: str = "species") -> D
     )
     between = F.col("zsquares") - ratio(F.col("zsum") * F.col("zsum"), F.col("n"))
     top, bottom = ratio(between, F.col("groups") - 1), ratio(F.col("within"), F.col("n") - F.col("groups"))
-    return sums.select(
+    tested = sums.select(
         (F.col("groups") - 1).alias("df1"), (F.col("n") - F.col("groups")).alias("df2"), ratio(top, bottom).alias("f")
     )
+    return tested.withColumn("p_value", f_upper_p(F.col("f"), F.col("df1"), F.col("df2")))

@@ -114,14 +114,15 @@ def score_pooled(t):
     rows = rows.join(_of(effects, "species", "everything", "species", "u", "v"), ["everything", "family", "species"])
     rows = settle(_derivatives(rows.withColumn("mu", F.col("mu") * F.exp(F.col("b") + F.col("u") + F.col("v") * F.col("z_year")))).select(
         "observer", "species", "b", "u", "v", "z_year", "s"), "rows")
-    params = fits.select(*[F.get("variances", k).alias(n) for k, n in enumerate(("sd_o", "sd_u", "sd_v", "atanh_r"))])
-    of_observers = rows.groupBy("observer").agg(F.first("b").alias("b"), *_total(F.col("s"), "s")).join(params)
-    pull = F.col("b") * F.exp(-2 * F.col("sd_o"))
+    names = ("sd_o", "sd_u", "sd_v", "atanh_r")
+    params = fits.select(F.struct(*[F.get("variances", k).alias(n) for k, n in enumerate(names)])).scalar()
+    of_observers = rows.groupBy("observer").agg(F.first("b").alias("b"), *_total(F.col("s"), "s")).withColumn("p", params)
+    pull = F.col("b") * F.exp(-2 * F.col("p.sd_o"))
     of_observers = of_observers.select(
         F.col("observer").alias("level"), F.lit("observer").alias("term"), _score(F.col("s") - pull, F.col("s_size") + F.abs(pull)).alias("score"))
-    r, su, sv, u, v = F.tanh("atanh_r"), F.exp("sd_u"), F.exp("sd_v"), F.col("u"), F.col("v")
+    r, su, sv, u, v = F.tanh("p.atanh_r"), F.exp("p.sd_u"), F.exp("p.sd_v"), F.col("u"), F.col("v")
     lines = rows.groupBy("species").agg(
-        F.first("u").alias("u"), F.first("v").alias("v"), *_total(F.col("s"), "s"), *_total(F.col("s") * F.col("z_year"), "sy")).join(params)
+        F.first("u").alias("u"), F.first("v").alias("v"), *_total(F.col("s"), "s"), *_total(F.col("s") * F.col("z_year"), "sy")).withColumn("p", params)
     pull_u, pull_v = (u / su - r * v / sv) / su / (1 - r * r), (v / sv - r * u / su) / sv / (1 - r * r)
     parts = F.array(*[F.struct(F.lit(n).alias("term"), _score(F.col(c) - q, F.col(f"{c}_size") + F.abs(q)).alias("score"))
                       for n, c, q in (("level", "s", pull_u), ("slope", "sy", pull_v))])

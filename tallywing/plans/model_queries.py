@@ -342,7 +342,6 @@ def outlier_share(t):
 
 _DAILY = """dl AS (SELECT date, year, observer, ln(1 + sum(birds) / obs_hours) AS y, year - 1998 AS x FROM panel_eff
                    WHERE obs_hours <> 0 AND observer IS NOT NULL GROUP BY date, year, observer, panel_eff.obs_hours)"""
-_OBSERVERS = ["OB0", "OB1", "OB2", "OB3", "OB4"]
 
 
 def _daily(t):
@@ -361,10 +360,27 @@ def _daily(t):
               WHERE z.observer = 'OB0' AND a.observer <> 'OB0'""", ("panel_eff",))
 def ols_log_rate(t):
     """log(rate + 1) on year and a category; with one category the slope is the within-category one."""
-    fit = linear.log_rate_model(_daily(t), {"observer": _OBSERVERS}, 1998)
+    fit = linear.log_rate_model(_daily(t), {"observer": None}, 1998)
     return r(fit, 6, "estimate").select("term", "estimate")
 
 
+@query("ols_two_categories", f"""WITH {_DAILY},
+    d AS (SELECT observer, x, y, CASE WHEN dayofweek(date) IN (0, 6) THEN 1.0::DOUBLE ELSE 0 END AS w FROM dl),
+    c AS (SELECT *, x - avg(x) OVER o AS a, w - avg(w) OVER o AS b, y - avg(y) OVER o AS r FROM d WINDOW o AS (PARTITION BY observer)),
+    s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * r) AS ar, sum(b * r) AS br, sum(r * r) AS rr,
+                 count(*) - count(DISTINCT observer) - 2 AS free FROM c),
+    e AS (SELECT *, aa * bb - ab * ab AS det, (bb * ar - ab * br) / (aa * bb - ab * ab) AS year, (aa * br - ab * ar) / (aa * bb - ab * ab) AS weekend FROM s),
+    v AS (SELECT *, (rr - year * ar - weekend * br) / free AS sigma2 FROM e)
+    SELECT 'year' AS term, round(year, 6) AS estimate, round(sqrt(sigma2 * bb / det), 6) AS se FROM v
+    UNION ALL SELECT 'weekend=yes', round(weekend, 6), round(sqrt(sigma2 * aa / det), 6) FROM v""", ("panel_eff",))
+def ols_two_categories(t):
+    """log(rate + 1) on year and two categories; in SQL the larger category is taken out by centring every column on its levels."""
+    daily = daily_rate(t.panel_eff, ["date", "year", "obs_hours", "observer"]).filter("observer is not null").withColumns({
+        "group": F.lit("all"), "weekend": F.when(F.dayofweek("date").isin(1, 7), "yes").otherwise("no")})
+    fit = linear.log_rate_model(daily, {"observer": None, "weekend": None}, 1998)
+    return r(fit.filter("term in ('year', 'weekend=yes')"), 6, "estimate", "se").select("term", "estimate", "se")
+
+
 @query("ols_year_only", f"""WITH {_DAILY}
     SELECT 'year' AS term, round(regr_slope(y, x), 6) AS estimate,
            round(sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (count(*) - 2) / regr_sxx(y, x)), 6) AS se FROM dl

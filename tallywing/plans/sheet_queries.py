@@ -147,6 +147,18 @@ def sink_roundtrip(t):
     return t.spark.read.parquet(path).select("species", "date", "year", "birds")
 
 
+@query("sink_replace_seasons", """
+    SELECT species, date, year, sum(birds * CASE WHEN year % 2 = 0 THEN 2 ELSE 1 END) AS birds FROM panel GROUP BY species, date, year""",
+       ("panel",), dates=("date",))
+def sink_replace_seasons(t):
+    """The panel written twice to one table, the second time with half of its seasons, their counts doubled: the others stay untouched."""
+    path = scratch_path(t.spark, "seasons")
+    rows = collapse_duplicates(t.panel, ["species", "date", "year"])
+    tables.replace_seasons(rows, path)
+    tables.replace_seasons(rows.filter("year % 2 = 0").withColumn("birds", F.col("birds") * 2), path)
+    return t.spark.read.parquet(path).select("species", "date", "year", "birds")
+
+
 @query("sink_csv_roundtrip", "SELECT species, year, sum(birds) AS birds FROM panel GROUP BY ALL", ("panel",))
 def sink_csv_roundtrip(t):
     """Yearly totals through the CSV sink."""

@@ -322,6 +322,7 @@ def with_views(sql: str, *views: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({SQL_VIEWS[name][1]})" for name in order)
     body = sql.strip()
-    if re.match(r"WITH\s", body, re.IGNORECASE):
-        return f"WITH {ctes},\n{body[5:]}"
+    starts = re.match(r"WITH\s+(RECURSIVE\s)?", body, re.IGNORECASE)
+    if starts:
+        return f"WITH {starts[1] or ''}{ctes},\n{body[starts.end():]}"
     return f"WITH {ctes}\n{body}"

@@ -38,3 +38,13 @@ def write_panel(df: DataFrame, path: str) -> None:
     Rows are rebalanced by year first: a year is in few files, and a large one is split.
     """
     df.hint("rebalance", "year").write.partitionBy("year").parquet(path)
+
+
+def replace_seasons(df: DataFrame, path: str) -> None:
+    """Write the seasons of ``df`` to a panel table; those it holds are replaced, all others stay as they are.
+
+    The writer stages the new files and swaps the folders of those years when all tasks are done, so a run that fails or
+    is repeated leaves each season whole, and never twice. ``df`` must not read from ``path``.
+    """
+    writer = df.hint("rebalance", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("year").parquet(path)

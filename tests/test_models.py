@@ -215,6 +215,24 @@ def test_flat_term_is_harmless(spark):
     assert fit["converged"] and fit["beta"][1] == pytest.approx(0.0, abs=1e-9)
 
 
+def test_ols_leaves_out_what_depends_on_earlier_terms(spark):
+    """A copy, a sum and a constant have no estimate; the others are those without them, in groups of many parts and of few rows."""
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(2, 500)) + 2000.0
+    y = 3 + 0.5 * a - 2 * b + rng.normal(size=500)
+    rows = [("g", *map(float, r)) for r in zip(a, a, b, a + b, np.ones(500), y)] + [("few", 1.0, 1.0, 2.0, 3.0, 1.0, 5.0), ("few", 2.0, 2.0, 7.0, 9.0, 1.0, 6.0)]
+    df = spark.createDataFrame(rows, "group string, a double, copy double, b double, total double, one double, y double").repartition(9)
+    got = {(r["group"], r["term"]): r for r in linear.ols(df, "y", ["a", "copy", "b", "total", "one"]).collect()}
+    x = np.column_stack([np.ones(500), a - a.mean(), b - b.mean()])
+    beta, rest, *_ = np.linalg.lstsq(x, y, rcond=None)
+    se = np.sqrt(rest[0] / 497 * np.diag(np.linalg.inv(x.T @ x)))
+    for j, term in ((1, "a"), (2, "b")):
+        assert got["g", term]["estimate"] == pytest.approx(beta[j], rel=1e-6) and got["g", term]["se"] == pytest.approx(se[j], rel=1e-6)
+    for term in ("copy", "total", "one"):
+        assert got["g", term]["estimate"] is None and got["g", term]["se"] is None
+    assert got["few", "a"]["estimate"] == pytest.approx(1.0) and got["few", "b"]["estimate"] is None and got["few", "a"]["se"] is None
+
+
 def test_ols_matches_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -122,17 +122,22 @@ def _place(*same: str) -> Column:
     return F.rank().over(Window.partitionBy(*same).orderBy("doc", "tag", "start"))
 
 
+def _tag(data: Column) -> Column:
+    """The first 64 bits of the md5 as a signed number, as many as the names of strings have."""
+    return F.conv(F.substring(F.md5(data), 1, 16), 16, -10).cast("long")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Column]:
     """(doc, tag, first, last) of spans to remove, which may overlap, and the expression of tag.
 
-    ``doc`` is doc_id, the smallest long for NULL. ``tag`` tells apart texts of one repeated id (crc32 of the text) and is 0
+    ``doc`` is doc_id, the smallest long for NULL. ``tag`` tells apart texts of one repeated id (64 bits of their md5) and is 0
     where no id repeats; rows with equal id and text are one document.
     """
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     tagged = not ids.groupBy("doc").count().where("count > 1").isEmpty()
 
     def tag_of(data: bytes) -> int:
-        return zlib.crc32(data) if tagged else 0
+        return int.from_bytes(hashlib.md5(data).digest()[:8], "big", signed=True) if tagged else 0
 
     def find(batches):
         held = Buffers()
@@ -157,7 +162,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
     compared = settle(found, "repeats-anchors")
 
     asked = compared.where("name").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "more", "lead")).alias("asked"))
-    tag = F.crc32("data") if tagged else F.lit(0).cast("long")
+    tag = _tag(F.col("data")) if tagged else F.lit(0).cast("long")
     texts = ids.withColumn("tag", tag).join(asked, ["doc", "tag"]).select("doc", "tag", "data", "asked")
 
     def name(batches):
@@ -180,14 +185,14 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Colu
     named = settle(strings.where("string is null or place > 1").select(
         "doc", "tag", F.col("start").alias("first"), F.coalesce("last", F.col("start") + LENGTH).alias("last")), "repeats-strings")
     spans = compared.where("not name").select("doc", "tag", F.col("start").alias("first"), "last").unionByName(named)
-    return spans, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) if tagged else F.lit(0).cast("long")
+    return spans, _tag(F.coalesce(F.col(text), F.lit("")).cast("binary")) if tagged else F.lit(0).cast("long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, data, kept, n_removed, n_spans): each text as UTF-8 bytes, and without the bytes that repeat earlier ones.
 
     A NULL or empty text has no bytes. Rows with equal id and text are one document and get the same result; a NULL id is
-    before all others, and of different texts with one id that with the smaller crc32 is first. Texts of fewer than
+    before all others, and of different texts with one id that with the smaller tag is first. Texts of fewer than
     ``LENGTH`` bytes keep all. An empty table gives no rows.
     """
     spans, tag = repeated_spans(docs.select("doc_id", "text"))

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,7 +29,7 @@ from tallywing.llm.common import WORD, free_names, frugal, settle
 
 LEAST_WORDS, BUFFER_CHARS, NO_ID = 10, 1 << 20, -(1 << 63)
 
-_FOUND = "fingerprint long, doc long, tag long, windows array<struct<name long, first int, last int>>, spans array<struct<first int, last int>>"
+_FOUND = "fingerprint long, doc long, tag string, windows array<struct<name long, first int, last int>>, spans array<struct<first int, last int>>"
 
 
 def _hash(text: str) -> int:
@@ -70,17 +69,17 @@ def worded(text: str | None) -> tuple[list[str], list[int], list[int]]:
 
 def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, both_ways: bool = False) -> tuple[DataFrame, Column]:
     """(doc, tag, runs) of each text with repeated lines: ``runs`` are (first, last) of lines that hold a word, which may
-    overlap; and the expression of tag, which tells texts of one repeated id apart (0 where no id repeats)."""
+    overlap; and the expression of tag, which tells texts of one repeated id apart (their md5; empty where no id repeats)."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     tagged = not ids.groupBy("doc").count().where("count > 1").isEmpty()
     window = pa.struct([("name", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
     span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(window), pa.list_(span)]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.list_(window), pa.list_(span)]
     names = ["fingerprint", "doc", "tag", "windows", "spans"]
 
     def settled(held):
         """Rows of a buffer: (doc, tag, windows) to one row per fingerprint and text, repeats inside the buffer as spans."""
-        first: dict[tuple[int, int], tuple] = {}
+        first: dict[tuple[int, int], tuple[int, str, int]] = {}
         for doc, tag, windows in held:
             for fingerprint, name, a, _ in windows:
                 at = (doc, tag, a)
@@ -106,7 +105,7 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, both_ways: bool =
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 lines, counts, _ = worded(text)
-                tag = zlib.crc32((text or "").encode("utf-8", "surrogatepass")) if tagged else 0
+                tag = hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest() if tagged else ""
                 held.append((doc, tag, windows_of(lines, counts, least_words, both_ways)))
                 size += len(text or "")
                 if size >= BUFFER_CHARS:
@@ -124,7 +123,7 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, both_ways: bool =
     spans = later.select("doc", "tag", "first", "last").unionByName(
         found.where("fingerprint is null").select("doc", "tag", F.explode("spans").alias("s")).select("doc", "tag", "s.first", "s.last"))
     runs = spans.groupBy("doc", "tag").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    return runs, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if tagged else F.lit(0).cast("long")
+    return runs, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if tagged else F.lit("")
 
 
 def without(text: str | None, runs) -> tuple[str | None, int, int, int, int | None]:
@@ -152,7 +151,7 @@ def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS, both_ways: boo
     first_removed) under those names or, where ``docs`` has them, under the names with underscores before.
 
     Earlier is by doc_id, then line; a NULL id is before all others. Rows with equal id and text are one document and get
-    the same result; of different texts with one id that with the smaller crc32 is first. A NULL text stays NULL. Runs
+    the same result; of different texts with one id that with the smaller md5 is first. A NULL text stays NULL. Runs
     with fewer than ``least_words`` words stay, however often they stand. With ``both_ways`` each repeated run goes to its last
     line; without, its last lines stay where together they hold fewer than ``least_words`` words. An empty table gives no rows.
     """

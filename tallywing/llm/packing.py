@@ -114,18 +114,19 @@ class WordIds(dict):
     def texts(self, texts: list[str]) -> list[bytes]:
         plain = [self.words(t) for t in texts]
         found = [None if w is None else list(map(self.get, w)) for w in plain]
-        short = [k for k, ids in enumerate(found) if ids is not None and None in ids]
-        new = {word for k in short for word, ids in zip(plain[k], found[k]) if ids is None}
-        if 2 * (len(self) + len(new)) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-            new = {word for k in short for word in plain[k]}
+        short = [(k, [j for j, ids in enumerate(row) if ids is None]) for k, row in enumerate(found) if row is not None and None in row]
+        new = {plain[k][j] for k, at in short for j in at}
         if new:
-            known = self.older.keys() & new
-            self.update((word, self.older[word]) for word in known)
-            self.learn(new - known)
-            for k in short:
-                found[k] = map(self.__getitem__, plain[k])
+            before = {word: self.older[word] for word in self.older.keys() & new}
+            if 2 * (len(self) + len(new)) > REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self.update(before)
+            self.learn(new - before.keys())
+            for k, at in short:
+                row, words = found[k], plain[k]
+                for j in at:
+                    row[j] = self[words[j]]
         whole = [t for t, w in zip(texts, plain) if w is None]
         got = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
         return [np.asarray(next(got).ids, dtype="<u4").tobytes() if ids is None else b"".join(ids) for ids in found]

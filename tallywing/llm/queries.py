@@ -26,7 +26,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = linededup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = linededup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), both_ways=True)
     return cut.select("doc_id", "n_lines", "n_removed", "kept_words")
 
 
@@ -103,8 +103,9 @@ ORACLES: dict[str, str] = {
         n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
         b AS (SELECT doc_id, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k,
                      sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n WHERE w > 0),
-        e AS (SELECT a.doc_id, a.k, min(z.k) AS last FROM b AS a JOIN b AS z
-              ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto - a.upto + a.w >= 10 GROUP BY ALL),
+        c AS (SELECT a.doc_id, a.k, z.k AS last FROM b AS a JOIN b AS z
+              ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto - a.upto + a.w >= 10),
+        e AS (SELECT doc_id, k, min(last) AS last FROM c GROUP BY doc_id, k UNION SELECT doc_id, max(k), last FROM c GROUP BY doc_id, last),
         m AS (SELECT e.doc_id, e.k, e.last, string_agg(z.line, chr(10) ORDER BY z.k) AS name FROM e JOIN b AS z
               ON e.doc_id = z.doc_id AND z.k BETWEEN e.k AND e.last GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, k) AS place FROM m),

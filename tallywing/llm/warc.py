@@ -38,6 +38,14 @@ def _record_id(page: Column, digest: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
+def _written(instant: Column) -> Column:
+    """WARC-Date of an instant: UTC, whatever the session's time zone; no local time is made on the way."""
+    seconds = F.unix_seconds(instant)
+    day, rest = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")), F.pmod(seconds, F.lit(86_400))
+    clock = F.format_string("%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60)
+    return F.concat(day.cast("string"), F.lit("T"), clock)
+
+
 def write_archives(pages: DataFrame, path: str, run: str, captured: Column | None = None, least_bytes: int = LEAST_BYTES) -> None:
     """One record per row of ``pages`` (page_id, url, html) under ``path``, and a warcinfo record of the run.
 
@@ -70,7 +78,7 @@ def write_archives(pages: DataFrame, path: str, run: str, captured: Column | Non
         start,
         header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         header("WARC-Record-ID", F.concat(F.lit("<"), _record_id(F.col("page_id"), F.col("digest")), F.lit(">"))),
-        header("WARC-Date", F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        header("WARC-Date", _written(F.col("captured"))),
         optional("WARC-Target-URI", safe),
         optional("Page-ID", F.col("page_id").cast("string")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -106,7 +114,7 @@ def read_archives(spark, path: str, run: str) -> DataFrame:
         ~F.col("head").rlike(r"(?:^|\r\n)WARC-Type: warcinfo"))
     length = field("Content-Length").cast("int")
     parsed = rows.select(
-        field("WARC-Target-URI").alias("url"), F.to_timestamp(field("WARC-Date"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
+        field("WARC-Target-URI").alias("url"), F.try_to_timestamp(field("WARC-Date")).alias("captured"),
         field("Page-ID").cast("long").alias("page_id"), field("WARC-Type").alias("record_type"),
         field("Refers-To-Page-ID").cast("long").alias("refers_to"), field("WARC-Record-ID").alias("record_id"),
         field("Payload-Length").cast("long").alias("stated_bytes"), F.substring(field("WARC-Payload-Digest"), 6, 40).alias("stated_digest"),

@@ -322,3 +322,37 @@ def test_pipeline(spark, small, odd, none):
 def test_line_stage_drops_what_is_emptied_and_counts_anew(spark, odd, small):
     rows = {r["doc_id"]: r for r in corpus_pipeline.lines(spark, odd.where("doc_id in (1, 2, 4, 7)"), small).collect()}
     assert set(rows) == {1, 2, 4} and rows[1]["n_chars"] == len(rows[1]["text"])
+
+
+def clashing(spark, make, n=400_000):
+    """Two different texts with one crc32, the first built around ``make``'s passage."""
+    import zlib
+
+    seen = {}
+    for i in range(n):
+        for k in (0, 1):
+            text = make(k, i)
+            other = seen.setdefault(zlib.crc32(text.encode()), (k, text))
+            if other[0] != k:
+                return (other[1], text) if other[0] == 0 else (text, other[1])
+    raise AssertionError("no clash found")
+
+
+@pytest.mark.parametrize("doc", [7, None])
+def test_texts_of_one_id_and_equal_crc_are_told_apart(spark, doc):
+    passage = "".join(chr(97 + i * i % 26) for i in range(150))
+    one, two = clashing(spark, lambda k, i: (passage if k == 0 else passage[::-1] + "x") + f" {i:07d}")
+    rows = [(-5, "before " + passage), (doc, one), (doc, two)] if doc else [(doc, one), (doc, two), (1, passage)]
+    got = dedup_bytes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {r["data"].decode(): r["n_removed"] for r in got}
+    assert removed[two] == 0 and (removed[one] >= 150 if doc else removed[passage] == 150)
+
+
+@pytest.mark.parametrize("doc", [7, None])
+def test_lines_of_one_id_and_equal_crc_are_told_apart(spark, doc):
+    line = "one two three four five six seven eight nine ten"
+    one, two = clashing(spark, lambda k, i: (line if k == 0 else "ten other words that stand in no other text at all") + f"\n{i:07d}")
+    rows = [(-5, line + "\nbefore"), (doc, one), (doc, two)] if doc else [(doc, one), (doc, two), (1, line)]
+    got = {r["kept_words"] for r in linededup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string")).where(
+        F.col("doc_id").isNull() if doc is None else F.col("doc_id") == doc).collect()}
+    assert 12 in got

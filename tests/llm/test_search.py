@@ -70,6 +70,19 @@ def test_archive_round_trip(spark, split):
     assert {r["url"] for r in rows if r["page_id"] in (3, 4)} == {None, ""}
 
 
+def test_dates_are_utc_in_any_session(spark):
+    """Two captures an hour apart, at one local time: the night when clocks go back."""
+    pages = spark.createDataFrame([(1, "http://a.org", "one"), (2, "http://a.org", "two"), (3, "http://a.org", "old")], "page_id long, url string, html string")
+    when = F.timestamp_seconds(F.when(F.col("page_id") == 1, 1636263000).when(F.col("page_id") == 2, 1636266600).otherwise(-1))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = warc.archive(pages, captured=when).select("page_id", F.unix_seconds("captured").alias("at"), "position").orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [(r["page_id"], r["at"]) for r in rows] == [(3, -1), (1, 1636263000), (2, 1636266600)]
+
+
 def test_index_in_many_ranges_and_runs(spark):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://hot.org/").otherwise(
         F.concat(F.lit("http://h"), F.pmod(F.xxhash64("id"), F.lit(40)), F.lit(".org/"))).alias("url"), F.col("id").cast("string").alias("html"))

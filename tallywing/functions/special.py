@@ -125,7 +125,8 @@ def _lower_tail(a: Column, b: Column, y: Column) -> Column:
 def beta_cdf_of_log_odds(a: Column, b: Column, y: Column) -> Column:
     """Regularised incomplete beta function at x = 1 / (1 + exp(-y)), so that neither x nor 1 - x loses digits.
 
-    NULL unless both parameters are positive and ``y`` is known.
+    NULL unless both parameters are positive and ``y`` is known. Good to 1e-10 while the smaller parameter is below a hundred thousand, to
+    some 1e-9 where both are in the millions, whose logs cancel.
     """
     below = y <= F.log(a / b)
     tail = _lower_tail(F.when(below, a).otherwise(b), F.when(below, b).otherwise(a), F.when(below, y).otherwise(-y))

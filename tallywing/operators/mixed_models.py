@@ -573,12 +573,18 @@ def select(
 def effects_by_level(fits: DataFrame, frame: MixedFrame) -> DataFrame:
     """Long table ``(group, model_id, family, term, level, effect, slope)``: what each level of each random term adds."""
     levels = frame.moments.select("group", *[F.transform(t, lambda v: v.cast("string")).alias(t) for t in _level_names(frame.layout.randoms)])
+
+    def named(random: Random, first):
+        def entry(level, i):
+            at = first + random.width * i
+            slope = F.get("effects", at + 1) if random.width == 2 else F.lit(None).cast("double")
+            return F.struct(F.lit(random.column).alias("term"), level.alias("level"), F.get("effects", at).alias("effect"), slope.alias("slope"))
+
+        return entry
+
     rows, first = [], F.lit(0)
     for k, random in enumerate(frame.layout.randoms):
-        name, at, wide = f"r{k}", first, random.width
-        rows.append(F.transform(F.col(name), lambda v, i, at=at, wide=wide, random=random: F.struct(
-            F.lit(random.column).alias("term"), v.alias("level"), F.get("effects", at + wide * i).alias("effect"),
-            (F.get("effects", at + wide * i + 1) if wide == 2 else F.lit(None).cast("double")).alias("slope"))))
-        first = first + wide * F.size(name)
+        rows.append(F.transform(F.col(f"r{k}"), named(random, first)))
+        first = first + random.width * F.size(f"r{k}")
     joined = fits.filter("converged").join(levels, "group")
     return joined.select("group", "model_id", "family", F.explode(F.flatten(F.array(*rows))).alias("e")).select("group", "model_id", "family", "e.*")

@@ -7,7 +7,7 @@ up over all rows by column expressions, apart from the sums of the fit; the SQL
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywing.operators import effects as fx
@@ -17,7 +17,6 @@ from tallywing.plans.catalog import query
 from tallywing.session import settle
 
 _NAMES = ["intercept", *TERMS]
-_X = [F.lit(1.0), *[F.col(f"z_{t}") for t in TERMS]]
 _FAMILIES = ["poisson", "nbinom"]
 _GROUPS = "(SELECT species FROM frame GROUP BY species HAVING sum(birds) > 0)"
 _LEVELS = "(SELECT species, observer AS term FROM frame GROUP BY species, observer HAVING species IN (SELECT species FROM g))"
@@ -63,7 +62,7 @@ def score_observer(t):
     fits, effects = _fitted(t.stored_frame, [mm.OBSERVER], _FAMILIES)
     rows = fx.with_fit(t.scaled, fits).join(_of(effects, "observer", "species", "observer", "b"), ["species", "family", "observer"])
     rows = _derivatives(rows.withColumn("mu", F.col("mu") * F.exp("b")))
-    sums = [e for j, x in enumerate(_X) for e in (*_total(F.col("s") * x, f"s{j}"), F.sum(F.col("t") * x).alias(f"t{j}"), F.sum(F.col("h") * x).alias(f"h{j}"))]
+    sums = [e for j, x in enumerate([F.lit(1.0), *[F.col(f"z_{t}") for t in TERMS]]) for e in (*_total(F.col("s") * x, f"s{j}"), F.sum(F.col("t") * x).alias(f"t{j}"), F.sum(F.col("h") * x).alias(f"h{j}"))]
     levels = rows.groupBy("species", "family", "observer").agg(F.first("b").alias("b"), *sums)
     sd = fits.select(F.col("group").alias("species"), "family", F.get("variances", 0).alias("log_sd"))
     levels = settle(levels.join(sd, ["species", "family"]).withColumn("p", F.exp(-2 * F.col("log_sd"))).withColumn("d", F.col("p") - F.col("h0")), "levels")
@@ -78,30 +77,6 @@ def score_observer(t):
     return of_levels.unionByName(of_models.select("species", "family", "s.term", "s.score"))
 
 
-@query("score_year_effects", f"""WITH g AS {_GROUPS}
-    SELECT species, term, 0.0::DOUBLE AS score FROM {_LEVELS}
-    UNION ALL SELECT species, CAST(year AS VARCHAR), 0.0::DOUBLE FROM frame GROUP BY species, year HAVING species IN (SELECT species FROM g)""", ("frame",))
-def score_year_effects(t):
-    """An effect of each observer and one of each year, correlated from year to year: the equations of all effects."""
-    fits, effects = _fitted(t.stored_frame, [mm.OBSERVER, mm.YEARS])
-    keys = ["species", "family"]
-    years = _of(effects, "year", "species", "y", "c").withColumn("year", F.col("y").cast("int")).drop("y")
-    rows = fx.with_fit(t.scaled, fits).join(_of(effects, "observer", "species", "observer", "b"), [*keys, "observer"]).join(years, [*keys, "year"])
-    rows = settle(_derivatives(rows.withColumn("mu", F.col("mu") * F.exp(F.col("b") + F.col("c")))).select(*keys, "observer", "year", "b", "s"), "rows")
-    params = fits.select(F.col("group").alias("species"), "family", *[F.get("variances", k).alias(n) for k, n in enumerate(("sd_o", "sd_y", "atanh_r"))])
-    of_observers = rows.groupBy(*keys, "observer").agg(F.first("b").alias("b"), *_total(F.col("s"), "s")).join(params, keys)
-    pull = F.col("b") * F.exp(-2 * F.col("sd_o"))
-    of_observers = of_observers.select("species", F.col("observer").alias("term"), _score(F.col("s") - pull, F.col("s_size") + F.abs(pull)).alias("score"))
-    along = Window.partitionBy(*keys).orderBy("year")
-    near = years.withColumns({"before": F.lag("c").over(along), "after": F.lead("c").over(along)}).join(params, keys)
-    r, last, c = F.tanh("atanh_r"), F.col("before").isNull() | F.col("after").isNull(), F.col("c")
-    held = F.when(last, c).otherwise(c * (1 + r * r)) - r * (F.coalesce("before", F.lit(0.0)) + F.coalesce("after", F.lit(0.0)))
-    near = near.withColumn("pull", held * F.exp(-2 * F.col("sd_y")) / (1 - r * r))
-    of_years = rows.groupBy(*keys, "year").agg(*_total(F.col("s"), "s")).join(near, [*keys, "year"])
-    of_years = of_years.select("species", F.col("year").cast("string").alias("term"), _score(F.col("s") - F.col("pull"), F.col("s_size") + F.abs("pull")).alias("score"))
-    return of_observers.unionByName(of_years)
-
-
 @query("score_pooled", """
     SELECT observer AS level, 'observer' AS term, 0.0::DOUBLE AS score FROM frame GROUP BY observer
     UNION ALL SELECT species, unnest(['level', 'slope']), 0.0::DOUBLE FROM frame GROUP BY species""", ("frame",))
@@ -128,13 +103,3 @@ def score_pooled(t):
                       for n, c, q in (("level", "s", pull_u), ("slope", "sy", pull_v))])
     of_lines = lines.select(F.col("species").alias("level"), F.explode(parts).alias("p")).select("level", "p.term", "p.score")
     return of_observers.unionByName(of_lines)
-
-
-@query("mixed_selection_facts", f"""WITH g AS {_GROUPS}
-    SELECT species, 6::BIGINT AS models, 3 AS least_k, 6 AS most_k, 1.0::DOUBLE AS weight, 0::BIGINT AS left_out, true AS nested FROM g""", ("frame",))
-def mixed_selection_facts(t):
-    """Every allowed subset of three terms, an observer effect in all: number, sizes, weights, and no model more likely than one that holds it."""
-    ranked = mm.select(t.stored_frame, "nbinom", terms=["doy", "doy2", "obs_hours"])
-    return ranked.groupBy(F.col("group").alias("species")).agg(
-        F.count("*").alias("models"), F.min("k").alias("least_k"), F.max("k").alias("most_k"), F.round(F.sum("weight"), 6).alias("weight"),
-        F.max("left_out").alias("left_out"), (F.max("loglik") <= F.max_by("loglik", "k") + 1e-6).alias("nested"))

@@ -14,12 +14,16 @@ from __future__ import annotations
 import json
 import re
 import string
+import struct
 import unicodedata
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +35,20 @@ LENGTH, OPEN_WINDOWS, END_ID = 2048, 64, 1
 #: Partitions whose last stretches are merged together, and rows of bytes a task holds before it hands them on.
 MERGED, FLUSH_BYTES = 256, 8 << 20
 #: Words whose ids a worker remembers, in two halves: when the younger is full, it becomes the older, which goes.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 _ARROW = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in _COLUMNS])
 
 
+def printable_bytes() -> str:
+    """The character by which a byte-level vocabulary shows each of the 256 bytes: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    beyond = count(0x100)
+    return "".join(chr(b if b in plain else next(beyond)) for b in range(256))
+
+
 class WordIds(dict):
     """Ids of words as little-endian unsigned 32-bit bytes.
 
@@ -55,6 +66,9 @@ class WordIds(dict):
     normalizer = {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
     splits = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Letters below this one are letters to every version of Unicode.
+    beyond = "\u0250"
+    shown = printable_bytes()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,11 +85,22 @@ class WordIds(dict):
         for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self[word] = np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        plain, split, others = [], [], set()
+    def encode_letters(self, words: list[str]) -> None:
+        """Words that are one part each, which no rule changes any more: the vocabulary's model takes their bytes."""
+        pieces = self.tokenizer.model.tokenize
+        for word in words:
+            shown = word if word.isascii() else charmap_decode(word.encode(), "strict", self.shown)[0]
+            ids = [piece.id for piece in pieces(shown)]
+            self[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: list[str]) -> None:
+        letters, split, others = [], [], set()
         for word in words:
             if word.isalpha():
-                plain.append(word)
+                if word.isascii() or max(word) < self.beyond:
+                    letters.append(word)
+                else:
+                    others.add(word)
                 continue
             core = word.strip(self.marks)
             if core.isalpha():
@@ -85,51 +110,65 @@ class WordIds(dict):
                 others.update(parts)
             else:
                 others.add(word)
+        self.encode_letters(letters)
         others = {w for w in others if w not in self}
-        alone = {w for w in others if w.isalpha()}
-        plain += alone.difference(plain)
-        if plain:
-            e = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            ids, of = np.asarray(e.ids, dtype="<u4"), np.asarray(e.word_ids, dtype=np.int64)
-            ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(ids)) if len(ids) else np.zeros(0, int)
-            if len(ends) == len(plain) and (np.diff(of) >= 0).all():
-                raw, last = ids.tobytes(), 0
-                for word, end in zip(plain, (4 * ends).tolist()):
-                    self[word] = raw[last:end]
-                    last = end
-            else:
-                self.encode(plain)
-        self.encode(list(others - alone))
+        parts = [w for w in others if w.isalpha() and (w.isascii() or max(w) < self.beyond)]
+        self.encode_letters(parts)
+        self.encode(list(others.difference(parts)))
         for word, parts in split:
             self[word] = b"".join(map(self.__getitem__, parts))
 
-    def words(self, text: str) -> list[str] | None:
+    def lowered(self, text: str) -> str | None:
+        """The text in lower case; None where it is left to the tokenizer."""
         if not self.by_words or any(mark in text for mark in self.odd) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
             return None
-        text = text.lower()
-        if not self.runs.search(text):
-            text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
-        return text.split()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        plain = [self.words(t) for t in texts]
-        found = [None if w is None else list(map(self.get, w)) for w in plain]
-        short = [(k, [j for j, ids in enumerate(row) if ids is None]) for k, row in enumerate(found) if row is not None and None in row]
-        new = {plain[k][j] for k, at in short for j in at}
-        if new:
-            before = {word: self.older[word] for word in self.older.keys() & new}
-            if 2 * (len(self) + len(new)) > REMEMBERED:
+        return text.lower()
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those not met before are learned."""
+        found = list(map(self.get, words))
+        at = [k for k, ids in enumerate(found) if ids is None]
+        if at:
+            older = self.older
+            if 2 * (len(self) + len(at)) > REMEMBERED:
                 self.older = dict(self)
                 self.clear()
-            self.update(before)
-            self.learn(new - before.keys())
-            for k, at in short:
-                row, words = found[k], plain[k]
-                for j in at:
-                    row[j] = self[words[j]]
-        whole = [t for t, w in zip(texts, plain) if w is None]
+            unseen = []
+            for k in at:
+                ids = found[k] = older.get(words[k])
+                if ids is None:
+                    unseen.append(words[k])
+                else:
+                    self[words[k]] = ids
+            self.learn(unseen)
+            for k in at:
+                if found[k] is None:
+                    found[k] = self[words[k]]
+        return found
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts in lower case: the distinct words are looked up, and their ids gathered in the order of the words."""
+        rows = pa.array(texts, pa.large_string())
+        spaced = rows
+        for mark in (". ", ", ", ".\n"):
+            spaced = pc.replace_substring(spaced, mark, f" {mark}")
+        together = pa.array([self.runs.search(text) is not None for text in texts])
+        lists = pc.utf8_split_whitespace(pc.if_else(together, rows, spaced))
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self.of_words(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        _, ends, data = ids.buffers()
+        cuts = np.frombuffer(ends, dtype=np.int64)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        plain = [self.lowered(t) for t in texts]
+        joined = iter(self.joined([t for t in plain if t is not None]))
+        whole = [t for t, low in zip(texts, plain) if low is None]
         got = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        return [np.asarray(next(got).ids, dtype="<u4").tobytes() if ids is None else b"".join(ids) for ids in found]
+        return [np.asarray(next(got).ids, dtype="<u4").tobytes() if low is None else next(joined) for low in plain]
 
 
 def word_ids(path: str) -> WordIds:
@@ -156,7 +195,7 @@ class Out:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema)
 
 
-def documents_in(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[tuple[int | None, str]]]:
+def documents_in(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[list[tuple[int | None, str]]]:
     """(doc_id, text) in groups of about ``most`` characters; a NULL text is empty."""
     group, held = [], 0
     for batch in batches:

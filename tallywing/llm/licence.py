@@ -4,12 +4,13 @@ The automaton of all templates is built once; its size follows the templates, no
 task. A document's words stream through it and give, at each word, the longest stretch of words ending there that
 stands in some template (matching statistics). Stretches that cannot be continued and have at least ``LEAST_MATCH``
 words are chained per template, in order in both texts with gaps of at most ``MOST_GAP`` words, and a template is found
-where a chain covers at least ``LEAST_COVER`` of its words. Words that stand in no template end every stretch, so only
+wherever a chain covers at least ``LEAST_COVER`` of its words, as often as it stands in a text. Words that stand in no template end every stretch, so only
 runs of known words are streamed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -98,6 +99,12 @@ class SuffixAutomaton:
         return found
 
 
+def apart(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
+    """Whether a span (start, end) meets none of the sorted, separate ``others``."""
+    at = bisect_left(others, span)
+    return (at == len(others) or others[at][0] >= span[1]) and (at == 0 or others[at - 1][1] <= span[0])
+
+
 class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES,
                  least_match: int = LEAST_MATCH, most_gap: int = MOST_GAP, least_cover: float = LEAST_COVER):
@@ -122,7 +129,8 @@ class Scanner:
         return sorted(found, key=lambda x: (x[1], x[0]))
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, cover) of the best chain of each template that has a stretch, best first."""
+        """(template, start, end, cover) of chains of stretches, best first: the best one of each template that has a
+        stretch, and every other that covers enough of it and meets none taken before in the text."""
         known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
         hits: dict[int, list[tuple[int, int, int]]] = {}  # template: (start in text, start in template, words)
         for a, b in zip(known[::2].tolist(), known[1::2].tolist()):
@@ -132,21 +140,37 @@ class Scanner:
                 for k, end in self.automaton.ends[state]:
                     hits.setdefault(k, []).append((a + start, end - n + 1, n))
         found = []
-        for k, stretches in hits.items():
-            best: list[tuple[int, int]] = []  # words covered by the best chain that ends here, where it starts
-            for i, (x, t, n) in enumerate(stretches):
-                most = (n, x)
-                for j in range(i - 1, -1, -1):
-                    px, pt, pn = stretches[j]
-                    if x - px > len(self.texts[k]) + self.gap + n:
+        for k, left in hits.items():
+            size, more = len(self.texts[k]), False
+            while left:
+                best = self.chains(left, size)
+                taken: list[tuple[int, int]] = []
+                for i in sorted(range(len(left)), key=lambda i: (-best[i][0], i)):
+                    words, start = best[i]
+                    span = start, left[i][0] + left[i][2]
+                    if more and words < self.cover * size:
                         break
-                    over = max(0, px + pn - x, pt + pn - t)
-                    if px < x and pt < t and over < n and x - (px + pn) <= self.gap and t - (pt + pn) <= self.gap:
-                        most = max(most, (best[j][0] + n - over, best[j][1]), key=lambda m: (m[0], -m[1]))
-                best.append(most)
-            (words, start), at = max(((m, i) for i, m in enumerate(best)), key=lambda m: (m[0][0], -m[1]))
-            found.append((k, start, stretches[at][0] + stretches[at][2], min(1.0, words / len(self.texts[k]))))
-        return sorted(found, key=lambda f: (-f[3], f[0]))
+                    if apart(span, taken):
+                        insort(taken, span)
+                        found.append((k, *span, min(1.0, words / size)))
+                        more = True
+                left = [s for s in left if apart((s[0], s[0] + s[2]), taken)] if taken else []
+        return sorted(found, key=lambda f: (-f[3], f[0], f[1]))
+
+    def chains(self, stretches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int]]:
+        """For each stretch (start in text, start in template, words): the words that the best chain ending there covers, and its start."""
+        best: list[tuple[int, int]] = []
+        for i, (x, t, n) in enumerate(stretches):
+            most = (n, x)
+            for j in range(i - 1, -1, -1):
+                px, pt, pn = stretches[j]
+                if x - px > size + self.gap + n:
+                    break
+                over = max(0, px + pn - x, pt + pn - t)
+                if px < x and pt < t and over < n and x - (px + pn) <= self.gap and t - (pt + pn) <= self.gap:
+                    most = max(most, (best[j][0] + n - over, best[j][1]), key=lambda m: (m[0], -m[1]))
+            best.append(most)
+        return best
 
     def read(self, text: str | None) -> tuple:
         words = split_words(text)
@@ -164,9 +188,10 @@ class Scanner:
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """(doc_id, n_words, places, spans, cover) of every row of ``docs``.
 
-    ``places`` are where the phrases stand (label, first word), ``spans`` the covered template spans (label, template,
-    start, end, cover) and ``cover`` the largest share of a template that any chain covers, found or not. A NULL or empty
-    text has no words, places or spans and cover 0. Repeated rows are scanned alike; an empty table gives no rows.
+    ``places`` are where the phrases stand (label, first word), ``spans`` the covered template spans, each of them where a
+    text holds a notice several times (label, template, start, end, cover) and ``cover`` the largest share of a template
+    that any chain covers, found or not. A NULL or empty text has no words, places or spans and cover 0. Repeated rows are
+    scanned alike; an empty table gives no rows.
     """
     scanner = scanner or Scanner()
     place = pa.struct([("label", pa.string()), ("start", pa.int64())])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywing.llm.common import labels_of, settle
+from tallywing.llm.common import free_names, labels_of, settle
 from tallywing.llm.textstats import FEATURES, features, with_statistics
 
 #: Base rule: fewer words than this, or more than this many in a hundred words repeated, fails.
@@ -151,8 +151,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that the base rule and the list keep.
 
+    A NULL text goes; repeated rows are judged alike; an empty table gives no rows. A column may have any name.
     The texts are counted a second time where the list is applied: that costs less than carrying them through a join.
     """
     rules = learn(measure(docs), labels_of(labels, "quality"))
-    counted = with_statistics(docs, into="tallywing_stats")
-    return counted.where(~base_failed("tallywing_stats") & (verdict(rules, "tallywing_stats") == 1)).drop("tallywing_stats")
+    (stats,) = free_names(docs.columns, "tallywing_stats")
+    counted = with_statistics(docs, into=stats)
+    return counted.where(~base_failed(stats) & (verdict(rules, stats) == 1)).drop(stats)

@@ -169,8 +169,8 @@ class LoserTree:
 
 
 def _order(entry: tuple) -> tuple:
-    """URL key as bytes, time, page (NULL first), record."""
-    return (entry[0].encode(), entry[1], entry[2] is not None, entry[2] or 0, entry[8])
+    """URL key as bytes, time, page (NULL first), record; rows equal in all of these by their place in the table."""
+    return (entry[0].encode(), entry[1], entry[2] is not None, entry[2] or 0, entry[8], entry[-1])
 
 
 def _rows(batch) -> Iterable[tuple]:
@@ -180,19 +180,24 @@ def _rows(batch) -> Iterable[tuple]:
 
 _TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 _NAMES = [part.split()[0] for part in ENTRY.split(", ")]
-_ENTRIES = pa.schema(list(zip(_NAMES, _TYPES)))
+_PLACED = [*_TYPES, pa.int64()]
+_ENTRIES = pa.schema(list(zip([*_NAMES, "place"], _PLACED)))
 
 
 def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
-    """``entries`` in global order: (entry.., key_range, position), sorted by (url_key, captured, page_id, record_id)."""
+    """``entries`` in global order: (entry.., key_range, position), sorted by (url_key, captured, page_id, record_id).
+
+    Repeated rows are kept; their place in the table parts them, so that a range stays bounded whatever repeats.
+    """
     n = entries.count()
+    placed = entries.select(*_NAMES, F.monotonically_increasing_id().alias("place"))
     ranges = max(1, -(-n // range_rows))
     bounds: list[tuple] = []
     if ranges > 1:
         share = max(1, n // (SAMPLED * ranges))
-        sample = entries.where(F.pmod(F.xxhash64("record_id"), F.lit(share)) == 0).select(
-            "url_key", F.unix_micros("captured"), "page_id", "record_id").collect()
-        found = sorted((r[0].encode(), r[1], r[2] is not None, r[2] or 0, r[3]) for r in sample)
+        sample = placed.where(F.pmod(F.xxhash64("record_id", "place"), F.lit(share)) == 0).select(
+            "url_key", F.unix_micros("captured"), "page_id", "record_id", "place").collect()
+        found = sorted((r[0].encode(), r[1], r[2] is not None, r[2] or 0, r[3], r[4]) for r in sample)
         bounds = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
     segment = pa.schema([("key_range", pa.int32()), ("run", pa.int64()), ("rows", pa.binary())])
 
@@ -208,7 +213,7 @@ def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS, run_rows: int
             for at, rows in parts.items():
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, _ENTRIES) as writer:
-                    writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], schema=_ENTRIES))
+                    writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PLACED)], schema=_ENTRIES))
                 out.append((at, base + number, sink.getvalue().to_pybytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), segment)], schema=segment)
 
@@ -234,7 +239,7 @@ def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS, run_rows: int
         return pa.table([*columns, pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int64())],
                         names=[*_NAMES, "key_range", "position"])
 
-    segments = entries.select(*_NAMES).mapInArrow(frugal(runs), "key_range int, run long, rows binary")
+    segments = placed.mapInArrow(frugal(runs), "key_range int, run long, rows binary")
     return segments.groupBy("key_range").applyInArrow(merged, HISTORY)
 
 

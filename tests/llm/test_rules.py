@@ -57,6 +57,8 @@ def test_keep_returns_the_columns(odd, none, labels):
     assert kept.columns == odd.columns
     assert {r["doc_id"] for r in kept.collect()} <= {1, 5, 7, None, 9}
     assert kept.where("doc_id in (2, 3, 4, 6)").isEmpty()
+    named = rules.keep(odd.withColumn("Tallywing_Stats", F.lit(1)), labels)
+    assert named.columns == [*odd.columns, "Tallywing_Stats"] and named.count() == kept.count()
     assert rules.keep(none, labels).isEmpty() and rules.judge(none, labels).isEmpty()
 
 

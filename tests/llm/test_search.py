@@ -170,3 +170,28 @@ def test_spans_are_chained_over_edits(spark):
     assert (two["labels"], three["labels"], three["score"]) == ("cc-by", "cc-by-nc", 1.0)
     span = licence.scan(frame).where("doc_id = 1").first()["spans"][0]
     assert span["label"] == "mit" and span["start"] == 1
+
+
+def test_every_copy_of_a_notice_has_a_span():
+    scanner = licence.Scanner()
+    k, notice = max(((k, text.split()) for k, (label, text) in enumerate(licence.TEMPLATES) if label == "mit"), key=lambda x: len(x[1]))
+    edited = notice[:20] + ["edited"] + notice[21:]
+    between = ["zzz"] * 8
+    text = " ".join(["xxx", *notice, *between, *edited, *between, *notice[:4], *between, *notice, "yyy"])
+    n = len(licence.split_words(" ".join(notice)))
+    spans = [s for s in scanner.read(text)[2] if s[1] == k]
+    starts = [1, 1 + n + 8, 1 + 2 * (n + 8) + 4 + 8]
+    assert sorted((a, b) for _, _, a, b, _ in spans) == [(a, a + n) for a in starts]
+    assert sorted(c for *_, c in spans)[1:] == [1.0, 1.0]
+    many = scanner.read(" ".join([*notice, "zzz"] * 300))[2]
+    assert sum(s[1] == k and s[4] == 1.0 for s in many) == 300
+
+
+def test_equal_entries_are_spread_over_ranges(spark):
+    when = F.timestamp_seconds(F.lit(0))
+    entries = spark.range(2400).select(F.lit("org,hot)/").alias("url_key"), when.alias("captured"), F.lit(None).cast("long").alias("page_id"),
+                                       F.lit("http://hot.org/").alias("url"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
+                                       F.lit(1).cast("long").alias("payload_bytes"), F.lit("d").alias("payload_digest"), F.lit("r").alias("record_id"),
+                                       F.lit("a").alias("archive"))
+    sizes = [r["count"] for r in warc.merge_index(entries, range_rows=200, run_rows=70).groupBy("key_range").count().collect()]
+    assert sum(sizes) == 2400 and len(sizes) > 8 and max(sizes) < 800
